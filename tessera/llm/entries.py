@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.langid import fit_langid, predict_languages
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.linear import held
+from tessera.llm.neardup import near_duplicates
+from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard_documents
+from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.sources.tables import table
 
 
@@ -15,6 +21,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held("doc_id", 4, 2)
+    model = fit_langid(docs, ~out)
+    return predict_languages(docs, model, [F.col("doc_id"), out.alias("held_out")])
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out (crc32 of doc_id mod 3 is 1: not learnt from), p_1, p_2, severity, toxic, grade."""
+    docs, out = table(spark, sf_dir, "documents"), held("doc_id", 3, 1)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    return score_toxicity(docs, model, [F.col("doc_id"), out.alias("held_out")])
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held("doc_id", 3, 1)
+    weights, bias = fit_quality(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = score_quality(docs, weights, bias, [F.col("doc_id"), out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -22,6 +52,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_language": op2_language,
+        "op3_near_duplicates": op3_near_duplicates,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
         "op7_licenses": op7_licenses,
     }
 
