@@ -1,22 +1,59 @@
-"""The corpus pipeline: each stage calls one operator of tessera.llm on all that its predecessor kept."""
+"""The corpus pipeline: each stage calls one operator of tessera.llm on all that its predecessor kept.
+
+All stages but the last return the columns of documents, whatever they are; names of the
+operators' own columns begin with two underscores there, so they meet none of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.sharding import with_shards
+from tessera.llm.decontam import without_leaks
+from tessera.llm.mixing import mix
+from tessera.llm.neardup import near_duplicates
+from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.sharding import jump_shard
 from tessera.session import materialize
 from tessera.sources.tables import table
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents of a quality score below 0.5 go. Learnt from all labelled rows of documents (a bounded sample)."""
+    weights, bias = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, weights, bias, _own(docs), "__score").where("__score >= 0.5").drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: five-word shingles, similarity of 0.8 or more; of each group the document of the smallest
+    doc_id stays. Rows that repeat doc_id and text count once; those without doc_id stay if no other is in their group."""
+    kept = near_duplicates(docs, 5, 4, 5).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: each document stands as often as its rate says: not at all, once or more."""
+    mixed = mix(docs, table(spark, sf_dir, "labels"), columns=_own(docs), prefix="__")
+    return mixed.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+
+
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the columns of documents and a shard from 0 to 23."""
-    return with_shards(docs, 24)
+    """Operator 1: the columns of documents and a shard from 0 to 23 (in place of one of that name)."""
+    return docs.withColumn("shard", jump_shard(F.col("doc_id"), 24))
 
 
-STAGES = [("sharding", sharding)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The stages hold trained models and graph components, which SQL cannot express.
+#: The stages hold trained models and graph components, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 

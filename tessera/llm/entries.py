@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontam import find_leaks
+from tessera.llm.gifmedia import media_digest, store_texts
 from tessera.llm.langid import fit_langid, predict_languages
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.linear import held
+from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard_documents
+from tessera.llm.suffixdedup import remove_repeats
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.sources.tables import table
 
@@ -45,10 +49,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), 100)
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(store_texts(table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, posteriors of the domains, tokens, rate and copies."""
+    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=[F.col("doc_id")])
+    return mixed.withColumnsRenamed({f"p_{c}": c for c in ("tokens", "rate", "copies")})
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and benchmark item that meet: doc_id, item_id, similarity, n_places, first_word."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -56,7 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
+        "op6_repeats": op6_repeats,
         "op7_licenses": op7_licenses,
+        "op8_gif": op8_gif,
+        "op9_mixing": op9_mixing,
+        "op10_decontamination": op10_decontamination,
     }
 
 

@@ -85,20 +85,23 @@ def by_block(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def score_texts(docs: DataFrame, columns: list[Column], rate: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
-    """columns (without text) of every row, then what `rate` gives for each text: an array of (documents, len(names)).
+    """columns of every row, then what `rate` gives for each text: an array of (documents, len(names)).
 
     Whole texts go through in blocks of documents; the rows stay where they were read.
     """
-    frame = docs.select(*columns, F.col("text").alias("__text"))
-    kept = [f for f in frame.schema.fields if f.name != "__text"]
+    frame = docs.select(*columns)
+    at = frame.columns.index("text") if "text" in frame.columns else len(frame.columns)
+    kept = frame.schema.fields
+    if at == len(kept):
+        frame = docs.select(*columns, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` double" for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros((b.num_rows, len(names)))
-            for i, j, data, offsets in by_block(b.column(b.num_columns - 1)):
+            for i, j, data, offsets in by_block(b.column(at)):
                 out[i:j] = rate(data, offsets)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(out[:, k]) for k in range(len(names)))], names=[f.name for f in kept] + names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(out[:, k]) for k in range(len(names)))], names=[f.name for f in kept] + names)
 
     return frame.mapInArrow(run, schema)
 
