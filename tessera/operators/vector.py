@@ -40,7 +40,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
     for part in range(parts):
         chunk = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").toArrow()
         ids = chunk["query_id"].combine_chunks()
-        q = np.array(chunk["q"].to_pylist(), float).reshape(len(ids), -1)
+        q = np.array(chunk["q"].to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
         q /= np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
         found = top_k(pool.mapInArrow(_nearest(ids, q, k, key), kinds), k, key)
         out = found if out is None else out.union(found)
