@@ -14,6 +14,7 @@ from tessera.llm.licenses import scan_licenses
 from tessera.llm.linear import held
 from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
+from tessera.llm.oracles import SQL
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffixdedup import remove_repeats
@@ -89,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
