@@ -6,11 +6,12 @@ bits. Bands of four registers propose links, a collision-corrected Jaccard estim
 drops hopeless ones, and the full sets decide the rest.
 
 Texts with equal sets form a class, and links are sought between classes. Within a band
-bucket every class is held against the bucket's first one. Buckets whose members then still
-lie in several components go on: members outside the largest component are held, sixteen
-at a time, against all members of other components, until none is left. So a bucket costs
-one pair for each member as long as its members belong together, no pair of different
-components goes unseen, and no group is ever gathered in one task.
+bucket every class is held against the bucket's first one. In buckets whose members then
+still lie in several components, blocks of members outside the largest component meet
+blocks of all members, and every pair of different components is decided on its full sets
+inside the block pair, once for all the buckets that it shares. So a bucket costs one pair
+for each member as long as its members belong together, no pair of different components
+goes unseen, no pairs are listed, and no group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
@@ -33,7 +33,8 @@ U64 = tk.U64
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA = 10
-HUBS = 16
+#: Members of an open bucket that are held together.
+BLOCK = 32
 #: For each register the order in which others are asked to stand in for an empty one.
 _STAND_IN = np.argsort(tk.mix64(np.arange(REGISTERS * REGISTERS, dtype=U64)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -183,20 +184,52 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _more_pairs(members: DataFrame, labels: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The next hubs (key, a) of buckets that hold several components, and their untried pairs with other components."""
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, nid, label, main, parts) of the buckets that hold several components: the label of the largest one, and how many blocks to deal."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     known = labels.join(sizes, "label").select(F.col("node").alias("nid"), "label", "size")
     rows = members.join(known, "nid", "left").select("key", "nid", F.coalesce("label", "nid").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    open_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", "size").alias("main")).where("lo < hi").select("key", "main")
-    rows = materialize(rows.join(open_keys, "key"), "open")
-    left = rows.where("label <> main")
-    if used is not None:
-        left = left.join(used, (left.key == used.key) & (left.nid == used.a), "left_anti")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("nid"))
-    hubs = materialize(left.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("nid").alias("a"), F.col("label").alias("label_a")), "hubs")
-    met = hubs.join(rows, "key").where("label <> label_a")
-    return hubs.select("key", "a"), met.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", "size").alias("main"), F.count("*").alias("m")).where("lo < hi")
+    return rows.join(materialize(keys.select("key", "main", F.ceil(F.col("m") / BLOCK).alias("parts")), "open"), "key").select("key", "nid", "label", "main", "parts")
+
+
+def _block_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between members of different components of the same bucket."""
+    full = rows.join(classes.select("nid", "regs"), "nid").join(texts, "nid")
+    full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
+    blocks = full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in ("nid", "label", "regs", "text")))
+    blocks = materialize(blocks, "blocks")
+    a = blocks.where("minor").select("key", *(F.col(c).alias(f"a_{c}") for c in ("nid", "label", "regs", "text")))
+    pairs = a.join(blocks.drop("minor", "part"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(4 * BLOCK)
+        def full_set(text: str) -> np.ndarray:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            return shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+
+        for b in batches:
+            found: set[tuple[int, int]] = set()
+            for row in b.to_pylist():
+                keys = [band_keys(np.frombuffer(b"".join(row[c]), np.uint16).reshape(-1, REGISTERS)) for c in ("a_regs", "regs")]
+                sets = [full_set(t) for t in row["text"]]
+                sizes = np.array([len(s) for s in sets])
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                for i, (nid, label, text) in enumerate(zip(row["a_nid"], row["a_label"], row["a_text"], strict=True)):
+                    own = full_set(text)
+                    # The pair's first common band decides in which bucket it is tried.
+                    first = np.where((same := keys[1] == keys[0][i]).any(axis=1), same.argmax(axis=1), -1)
+                    due = (first >= 0) & (keys[1][np.arange(len(sets)), first] == row["key"]) & (np.array(row["label"]) != label)
+                    due &= np.minimum(sizes, len(own)) * den >= np.maximum(sizes, len(own)) * num
+                    if due.any():
+                        at = np.searchsorted(own, every).clip(0, len(own) - 1)
+                        both = np.bincount(owner, weights=own[at] == every, minlength=len(sets)).astype(np.int64)
+                        for j in np.flatnonzero(due & (den * both >= num * (sizes + len(own) - both))):
+                            found.add((min(nid, row["nid"][j]), max(nid, row["nid"][j])))
+            got = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -220,18 +253,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     texts = materialize(_texts(docs, classes, members.select("nid").distinct(), k), "texts")
     links = materialize(_links(pairs, texts, k, num, den), "links")
     labels = components(links)
-    used, tried = None, pairs
-    while True:
-        hubs, more = _more_pairs(members.select("key", "nid"), labels, used)
-        if hubs.limit(1).count() == 0:
-            break
-        used = materialize(hubs if used is None else used.union(hubs), "used")
-        fresh = materialize(_likely(more.join(tried, ["a", "b"], "left_anti"), classes, num, den), "pairs")
-        tried = materialize(tried.union(fresh), "tried")
-        got = materialize(_links(fresh, texts, k, num, den), "links")
-        if got.limit(1).count():
-            links = materialize(links.union(got), "links")
-            labels = components(links)
+    opened = materialize(_open_buckets(members.select("key", "nid"), labels), "opened")
+    more = materialize(_block_links(opened, classes, texts, k, num, den), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     discard(texts, members)
     named = classes.join(labels, classes.nid == labels.node, "left").select("cid", "doc", F.coalesce("label", "nid").alias("label"))
     first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
