@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.config import PRICES
-from tessera.functions.text import grade, loose_json, mentions, score
+from tessera.functions.text import grade, loose_json, mentions, score, snippet
 from tessera.schema import JUDGMENT
 
 
@@ -126,8 +126,6 @@ def search_hits(trace: DataFrame) -> DataFrame:
 
 def summarize_results(results: DataFrame, n: int = 8) -> DataFrame:
     """A trace's view of results (query_id, rank, score, text): the first n, score to three places, 200 characters."""
-    from tessera.functions.text import snippet
-
     return results.where(F.col("rank") <= n).withColumn("score", F.round("score", 3)).withColumn("snippet", snippet(F.col("text"), 200)).drop("text")
 
 

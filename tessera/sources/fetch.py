@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import in_scope, slug_for_url, urldefrag
+from tessera.functions.text import chunk_id, in_scope, slug_for_url, urldefrag
 from tessera.operators.chunking import TokenCounter, html_blocks, pack_chunks, page_facts, pieces, text_blocks
 from tessera.schema import CHUNK, MANIFEST, QUESTION, RECORD
-from tessera.session import discard, materialize
+from tessera.session import materialize
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -117,8 +120,6 @@ def collect_chunks(records: DataFrame, limit_docs: int | None = None, least: int
     text = text_blocks(keyed.where("format in ('md', 'txt', 'text')"), "__key", "content")
     packed = pack_chunks(html.unionByName(text.withColumn("block_no", F.col("block_no").cast("int"))), "__key", least, most, tokens)
     facts = F.from_json("__key", "product string, doc_id string, source_url string")
-    from tessera.functions.text import chunk_id
-
     out = packed.withColumn("k", facts)
     columns = [c.split()[0] for c in CHUNK.split(", ")]
     out = out.select("k.*", "chunk_index", "text", "section_path").withColumn("id", chunk_id(F.col("doc_id"), F.col("chunk_index")))
@@ -129,4 +130,25 @@ def dry_run(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("product").agg(F.count("*").alias("n"))
 
 
-__all__ = ["collect_chunks", "crawl", "discard", "dry_run", "read_dataset", "read_manifest", "read_records"]
+def fetch_urls(wanted: DataFrame, get: Callable[[str], bytes], have: DataFrame | None = None, limit: int | None = None, force: bool = False) -> DataFrame:
+    """(product, doc_id, url, content, error) of documents (product, doc_id, url) by a provider's `get`.
+
+    Documents that `have` (product, doc_id, content) holds with content are skipped unless forced;
+    the limit is per product, in doc_id order. A failed fetch is a row with an error, not an abort.
+    """
+    if limit:
+        wanted = wanted.withColumn("__n", F.row_number().over(W.partitionBy("product").orderBy("doc_id"))).where(F.col("__n") <= limit).drop("__n")
+    if have is not None and not force:
+        wanted = wanted.join(have.where(F.length("content") > 0).select("product", "doc_id"), ["product", "doc_id"], "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got: list[tuple[bytes | None, str | None]] = []
+            for url in b["url"]:
+                try:
+                    got.append((get(url), None))
+                except Exception as e:  # noqa: BLE001 - any provider error becomes a row
+                    got.append((None, f"{type(e).__name__}: {e}"))
+            yield b.assign(content=[c for c, _ in got], error=[e for _, e in got])
+
+    return wanted.select("product", "doc_id", "url").mapInPandas(run, "product string, doc_id string, url string, content binary, error string")
