@@ -191,6 +191,8 @@ def parse(raw: bytes) -> tuple[int, int, list[_Stored]]:
     """Screen width and height, and the stored pictures."""
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
+    if len(raw) < 13:
+        raise ValueError("the GIF's header is cut")
     width, height, flags = struct.unpack_from("<HHB", raw, 6)
     at, shared = 13, np.zeros((0, 3), np.uint8)
     if flags & 0x80:
