@@ -34,7 +34,7 @@ REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA = 10
 #: Members of an open bucket that are held together.
-BLOCK = 32
+BLOCK = 128
 #: For each register the order in which others are asked to stand in for an empty one.
 _STAND_IN = np.argsort(tk.mix64(np.arange(REGISTERS * REGISTERS, dtype=U64)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -193,39 +193,60 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(materialize(keys.select("key", "main", F.ceil(F.col("m") / BLOCK).alias("parts")), "open"), "key").select("key", "nid", "label", "main", "parts")
 
 
+def _keys(classes: DataFrame, nids: DataFrame) -> DataFrame:
+    """(nid, n, keys): all band keys of the classes asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [k.tobytes() for k in band_keys(_matrix(b.column(2)))] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["nid", "n", "keys"])
+
+    return classes.join(nids, "nid", "left_semi").select("nid", "n", "regs").mapInArrow(run, "nid long, n long, keys binary")
+
+
 def _block_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between members of different components of the same bucket."""
-    full = rows.join(classes.select("nid", "regs"), "nid").join(texts, "nid")
+    columns = ("nid", "label", "n", "keys", "text")
+    full = rows.join(_keys(classes, rows.select("nid").distinct()), "nid").join(texts, "nid")
     full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
-    blocks = full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in ("nid", "label", "regs", "text")))
-    blocks = materialize(blocks, "blocks")
-    a = blocks.where("minor").select("key", *(F.col(c).alias(f"a_{c}") for c in ("nid", "label", "regs", "text")))
-    pairs = a.join(blocks.drop("minor", "part"), "key")
+    blocks = materialize(full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in columns)), "blocks")
+    a = blocks.where("minor").select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
+    pairs = a.join(blocks.select("key", *columns), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(4 * BLOCK)
-        def full_set(text: str) -> np.ndarray:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            return shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+        cache: dict[int, np.ndarray] = {}
+
+        def full_set(nid: int, text: pa.StringScalar) -> np.ndarray:
+            if nid not in cache:
+                if len(cache) >= 4 * BLOCK:
+                    cache.clear()
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                cache[nid] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+            return cache[nid]
+
+        def side(row: dict[str, pa.ListScalar], mark: str) -> tuple[np.ndarray, ...]:
+            longs = (np.asarray(row[mark + c].values) for c in ("nid", "label", "n"))
+            return *longs, np.frombuffer(b"".join(row[mark + "keys"].values.to_pylist()), np.int64).reshape(-1, BANDS)
 
         for b in batches:
             found: set[tuple[int, int]] = set()
-            for row in b.to_pylist():
-                keys = [band_keys(np.frombuffer(b"".join(row[c]), np.uint16).reshape(-1, REGISTERS)) for c in ("a_regs", "regs")]
-                sets = [full_set(t) for t in row["text"]]
-                sizes = np.array([len(s) for s in sets])
-                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                for i, (nid, label, text) in enumerate(zip(row["a_nid"], row["a_label"], row["a_text"], strict=True)):
-                    own = full_set(text)
+            for r in range(b.num_rows):
+                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
+                key = row["key"].as_py()
+                (nid_a, label_a, n_a, keys_a), (nid, label, n, keys) = side(row, "a_"), side(row, "")
+                for i in range(len(nid_a)):
                     # The pair's first common band decides in which bucket it is tried.
-                    first = np.where((same := keys[1] == keys[0][i]).any(axis=1), same.argmax(axis=1), -1)
-                    due = (first >= 0) & (keys[1][np.arange(len(sets)), first] == row["key"]) & (np.array(row["label"]) != label)
-                    due &= np.minimum(sizes, len(own)) * den >= np.maximum(sizes, len(own)) * num
-                    if due.any():
-                        at = np.searchsorted(own, every).clip(0, len(own) - 1)
-                        both = np.bincount(owner, weights=own[at] == every, minlength=len(sets)).astype(np.int64)
-                        for j in np.flatnonzero(due & (den * both >= num * (sizes + len(own) - both))):
-                            found.add((min(nid, row["nid"][j]), max(nid, row["nid"][j])))
+                    same = keys == keys_a[i]
+                    first = same.argmax(axis=1)
+                    due = same.any(axis=1) & (keys_a[i][first] == key) & (label != label_a[i])
+                    due &= np.minimum(n, n_a[i]) * den >= np.maximum(n, n_a[i]) * num
+                    if len(at := np.flatnonzero(due)):
+                        own = full_set(int(nid_a[i]), row["a_text"].values[i])
+                        sets = [full_set(int(nid[j]), row["text"].values[j]) for j in at]
+                        every, owner = np.concatenate(sets), np.repeat(np.arange(len(at)), n[at])
+                        both = np.bincount(owner, weights=own[np.searchsorted(own, every).clip(0, len(own) - 1)] == every, minlength=len(at)).astype(np.int64)
+                        for j in at[den * both >= num * (n[at] + n_a[i] - both)]:
+                            found.add((min(int(nid_a[i]), int(nid[j])), max(int(nid_a[i]), int(nid[j]))))
             got = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
