@@ -9,8 +9,10 @@ few suffixes need more than the first pass:
    Grouping by the anchor's gram, anchors that occur once drop out with all their windows.
 2. The next digit is the whole stretch of bytes under the windows of one anchor. All but a
    stretch's first occurrence are removed whole.
-3. First occurrences of different stretches around one gram may still share windows: only
-   these are ordered to the full depth, window by window.
+3. First occurrences of different stretches around one gram may still share windows. The
+   windows of a stretch are taken a few at a time, by their distance from the anchor; the
+   bytes that all of these hold are the third digit, and what occurs once drops out.
+4. Only what is left is ordered to the full depth, window by window.
 
 Groups are summed to their smallest document before the exchange and joined back, so a
 string that stands in a third of all texts is never gathered.
@@ -30,6 +32,8 @@ from tessera.llm.linear import by_block
 from tessera.session import discard, materialize
 
 U64 = tk.U64
+#: Windows that are ordered together in the third pass: this part of the length, sixteen of a hundred.
+BIN_PART = 6
 #: A null doc_id stands before all others.
 FIRST = -(1 << 63)
 
@@ -51,7 +55,7 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Per anchor of a block, in order: document, lo and hi (first and last window start), gram and stretch hashes; and prefix sums."""
+    """Per anchor of a block, in order: document, lo and hi (first and last window start), at (the anchor), gram and stretch hashes; and prefix sums."""
     gram = max(1, length // 4)
     prefix = tk.prefix_hash(data, False)
     n = len(data)
@@ -63,7 +67,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     p = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
     if not len(p):
         z = np.zeros(0, np.int64)
-        return {"doc": z, "lo": z, "hi": z, "gram": z.astype(U64), "whole": z.astype(U64), "prefix": prefix}
+        return {"doc": z, "lo": z, "hi": z, "at": z, "gram": z.astype(U64), "whole": z.astype(U64), "prefix": prefix}
     at = np.arange(n - gram + 1)
     h = tk.range_hash(prefix, at, at + gram)
     bits = U64(max(20, int(n).bit_length()))
@@ -74,7 +78,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     first = np.flatnonzero(new)
     lo, hi, a = p[first], p[np.append(first[1:], len(p)) - 1], anchor[first]
     whole = tk.mix64(tk.range_hash(prefix, lo, hi + length) + (a - lo).astype(U64) * U64(0x9FB21C651E98DF25) + (hi - lo).astype(U64))
-    return {"doc": np.searchsorted(offsets, lo, side="right") - 1, "lo": lo, "hi": hi, "gram": h[a], "whole": whole, "prefix": prefix}
+    return {"doc": np.searchsorted(offsets, lo, side="right") - 1, "lo": lo, "hi": hi, "at": a, "gram": h[a], "whole": whole, "prefix": prefix}
 
 
 def first_of(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -89,8 +93,8 @@ def first_of(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _anchors(rows: DataFrame, length: int, grams_only: bool) -> DataFrame:
-    """gram, and unless grams_only: whole, doc, rid, lo, hi, of the first place of each stretch in each text."""
-    schema = "gram long" + ("" if grams_only else ", whole long, doc long, rid long, lo int, hi int")
+    """gram, and unless grams_only: whole, doc, rid, lo, hi, at, of the first place of each stretch in each text."""
+    schema = "gram long" + ("" if grams_only else ", whole long, doc long, rid long, lo int, hi int, at int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,32 +106,61 @@ def _anchors(rows: DataFrame, length: int, grams_only: bool) -> DataFrame:
                 out = [s["gram"][keep].view(np.int64)]
                 if not grams_only:
                     base = offsets[d]
-                    out += [s["whole"][keep].view(np.int64), doc[i + d], rid[i + d], (s["lo"][keep] - base).astype(np.int32), (s["hi"][keep] - base).astype(np.int32)]
+                    out += [s["whole"][keep].view(np.int64), doc[i + d], rid[i + d], *((s[c][keep] - base).astype(np.int32) for c in ("lo", "hi", "at"))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
 
 
-def _windows(rows: DataFrame, stretches_: DataFrame, length: int) -> DataFrame:
-    """All windows of the given stretches: gram, window, doc, rid, start; again: whether the text has it earlier."""
-    lists = stretches_.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("s"))
-    joined = rows.join(lists, F.col("rid") == F.col("r")).select("doc", "rid", "text", F.col("s.gram").alias("g"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
+def _with_text(rows: DataFrame, ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """doc, rid, text and the columns of `ranges` as lists, for every text that has any."""
+    lists = ranges.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct(*columns)).alias("s"))
+    return rows.join(lists, F.col("rid") == F.col("r")).select("doc", "rid", "text", *(F.col(f"s.{c}").alias(c) for c in columns))
+
+
+def _ranges(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    """The lists of row i, each range once: repeated rows list theirs as often as they stand."""
+    lists = [np.asarray(b.column(c)[i].values).astype(np.int64) for c in range(3, b.num_columns)]
+    _, one = np.unique(lists[1], return_index=True)
+    return [x[one] for x in lists]
+
+
+def _bins(rows: DataFrame, stretches_: DataFrame, length: int) -> DataFrame:
+    """gram, bin, piece (the hash of the bytes that all windows of the bin hold), rid, lo, hi of the given stretches' bins."""
+    width = max(1, length // BIN_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 text = np.frombuffer(b.column(2)[i].as_buffer(), np.uint8)
-                prefix = tk.prefix_hash(text, False)
-                gram, lo, hi = (np.asarray(b.column(c)[i].values).astype(np.int64) for c in (3, 4, 5))
-                _, one = np.unique(lo, return_index=True)  # repeated rows list their stretches twice
-                gram, lo, hi = gram[one], lo[one], hi[one]
+                gram, lo, hi, at = _ranges(b, i)
+                first, last = (at - hi) // width, (at - lo) // width
+                count = last - first + 1
+                of = np.repeat(np.arange(len(lo)), count)
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[of]
+                near = at[of] - width * k
+                piece = tk.range_hash(tk.prefix_hash(text, False), near, near - width + 1 + length)
+                lows, highs = np.maximum(lo[of], near - width + 1), np.minimum(hi[of], near)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[of]), pa.array(k.astype(np.int32)), pa.array(piece.view(np.int64)), pa.array(np.full(len(of), b.column(1)[i].as_py())), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32))],
+                    names=["gram", "bin", "piece", "rid", "lo", "hi"],
+                )
+
+    return _with_text(rows, stretches_, ["gram", "lo", "hi", "at"]).mapInArrow(run, "gram long, bin int, piece long, rid long, lo int, hi int")
+
+
+def _windows(rows: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
+    """All windows of the given ranges: gram, window, doc, rid, start; again: whether the text has it earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text = np.frombuffer(b.column(2)[i].as_buffer(), np.uint8)
+                gram, lo, hi = _ranges(b, i)
                 count = hi - lo + 1
-                ends = np.cumsum(count)
-                # As many windows at a time as a block has bytes.
-                parts = np.unique(np.append(np.searchsorted(ends, np.arange(tk.BLOCK_BYTES, ends[-1] + tk.BLOCK_BYTES, tk.BLOCK_BYTES), side="left") + 1, len(lo)).clip(1, len(lo)))
-                start = np.repeat(lo - ends + count, count) + np.arange(ends[-1])
+                start = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
                 g = np.repeat(gram, count)
-                w = np.concatenate([tk.range_hash(prefix, start[x:y], start[x:y] + length) for x, y in zip(np.append(0, ends[parts[:-1] - 1]), ends[parts - 1], strict=True)])
+                w = tk.range_hash(tk.prefix_hash(text, False), start, start + length)
                 again = ~first_of(np.zeros(len(w), np.int8), w, g.view(U64))
                 n = len(w)
                 yield pa.RecordBatch.from_arrays(
@@ -135,7 +168,7 @@ def _windows(rows: DataFrame, stretches_: DataFrame, length: int) -> DataFrame:
                     names=["gram", "window", "doc", "rid", "start", "again"],
                 )
 
-    return joined.mapInArrow(run, "gram long, window long, doc long, rid long, start int, again boolean")
+    return _with_text(rows, ranges, ["gram", "lo", "hi"]).mapInArrow(run, "gram long, window long, doc long, rid long, start int, again boolean")
 
 
 def _release(df: DataFrame) -> None:
@@ -156,13 +189,18 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     discard(grams, found)
     whole = placed.where("doc > least").select("rid", "lo", "hi")
     mixed = materialize(first.groupBy("gram").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x <> y").select("gram"), "mixed")
-    windows = materialize(_windows(rows, placed.where("doc = least").join(mixed, "gram"), length), "windows")
+    bins = materialize(_bins(rows, placed.where("doc = least").join(mixed, "gram"), length), "bins")
+    _release(docs)
+    pieces = materialize(bins.groupBy("gram", "bin", "piece").count().where("count > 1").drop("count"), "pieces")
+    left = materialize(bins.join(pieces, ["gram", "bin", "piece"]).select("gram", "rid", "lo", "hi"), "left")
+    discard(bins, pieces)
+    windows = materialize(_windows(rows, left, length), "windows")
     _release(docs)
     least = materialize(windows.where("not again").groupBy("gram", "window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("gram", "window", "least"), "least")
     one = F.col("start").alias("lo"), F.col("start").alias("hi")
     earlier = windows.where("not again").join(least, ["gram", "window"]).where("doc > least").select("rid", *one)
     out = materialize(whole.union(windows.where("again").select("rid", *one)).union(earlier), "spans")
-    discard(first, placed, mixed, windows, least)
+    discard(first, placed, mixed, left, windows, least)
     _release(docs)
     return out
 
