@@ -49,3 +49,8 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the exchange files of steps that are done: it does so when the driver's JVM collects its garbage."""
+    df.sparkSession._jvm.System.gc()
