@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 from tessera.llm.components import components
 from tessera.llm.linear import by_block
-from tessera.session import discard, materialize
+from tessera.session import discard, materialize, release
 
 U64 = tk.U64
 REGISTERS, BAND = 128, 4
@@ -204,12 +204,17 @@ def _keys(classes: DataFrame, nids: DataFrame) -> DataFrame:
     return classes.join(nids, "nid", "left_semi").select("nid", "n", "regs").mapInArrow(run, "nid long, n long, keys binary")
 
 
-def _block_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between members of different components of the same bucket."""
+def _blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of open buckets in blocks (key, minor, and lists of nid, label, n, keys, text)."""
     columns = ("nid", "label", "n", "keys", "text")
     full = rows.join(_keys(classes, rows.select("nid").distinct()), "nid").join(texts, "nid")
     full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
-    blocks = materialize(full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in columns)), "blocks")
+    return materialize(full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in columns)), "blocks")
+
+
+def _block_links(blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between members of different components of the same bucket."""
+    columns = ("nid", "label", "n", "keys", "text")
     a = blocks.where("minor").select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
     pairs = a.join(blocks.select("key", *columns), "key")
 
@@ -269,18 +274,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     found = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = materialize(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
     buckets = _bands(classes).groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
-    members = materialize(_bands(classes).join(materialize(buckets, "buckets"), "key"), "members")
+    shared = materialize(buckets, "buckets")
+    members = materialize(_bands(classes).join(shared, "key"), "members")
+    discard(shared)
     pairs = materialize(_likely(members.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct(), classes, num, den), "pairs")
     texts = materialize(_texts(docs, classes, members.select("nid").distinct(), k), "texts")
+    release(docs)
     links = materialize(_links(pairs, texts, k, num, den), "links")
+    release(docs)
     labels = components(links)
     opened = materialize(_open_buckets(members.select("key", "nid"), labels), "opened")
-    more = materialize(_block_links(opened, classes, texts, k, num, den), "links")
+    blocks = _blocks(opened, classes, texts)
+    discard(pairs, members, opened, texts)
+    release(docs)
+    more = materialize(_block_links(blocks, k, num, den), "links")
+    discard(blocks)
+    release(docs)
     if more.limit(1).count():
         labels = components(links.union(more))
-    discard(texts, members)
+    discard(links, more)
     named = classes.join(labels, classes.nid == labels.node, "left").select("cid", "doc", F.coalesce("label", "nid").alias("label"))
     first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     ids = materialize(named.join(materialize(first, "first"), "label").select("cid", F.lit(True).alias("found"), "component_id"), "ids")
+    discard(classes)
+    release(docs)
     out = rows.select("doc_id", "n", "cid").join(ids, "cid", "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 from tessera.llm.linear import by_block
-from tessera.session import discard, materialize
+from tessera.session import discard, materialize, release
 
 U64 = tk.U64
 #: Windows that are ordered together in the third pass: this part of the length, sixteen of a hundred.
@@ -171,37 +171,32 @@ def _windows(rows: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     return _with_text(rows, ranges, ["gram", "lo", "hi"]).mapInArrow(run, "gram long, window long, doc long, rid long, start int, again boolean")
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the exchange files of steps that are done."""
-    df.sparkSession._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(rid, lo, hi): stretches of window starts that also stand in a smaller document, or earlier in
     the same text as windows of another stretch. Repeats of whole stretches within one text are not listed."""
     rows = _rows(docs)
     grams = materialize(_anchors(rows, length, True).groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    _release(docs)
+    release(docs)
     found = materialize(_anchors(rows, length, False).join(grams, "gram"), "stretches")
-    _release(docs)
+    release(docs)
     first = materialize(found.groupBy("gram", "whole").agg(F.min("doc").alias("least")), "first")
     placed = materialize(found.join(first, ["gram", "whole"]), "placed")
     discard(grams, found)
     whole = placed.where("doc > least").select("rid", "lo", "hi")
     mixed = materialize(first.groupBy("gram").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x <> y").select("gram"), "mixed")
     bins = materialize(_bins(rows, placed.where("doc = least").join(mixed, "gram"), length), "bins")
-    _release(docs)
+    release(docs)
     pieces = materialize(bins.groupBy("gram", "bin", "piece").count().where("count > 1").drop("count"), "pieces")
     left = materialize(bins.join(pieces, ["gram", "bin", "piece"]).select("gram", "rid", "lo", "hi"), "left")
     discard(bins, pieces)
     windows = materialize(_windows(rows, left, length), "windows")
-    _release(docs)
+    release(docs)
     least = materialize(windows.where("not again").groupBy("gram", "window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("gram", "window", "least"), "least")
     one = F.col("start").alias("lo"), F.col("start").alias("hi")
     earlier = windows.where("not again").join(least, ["gram", "window"]).where("doc > least").select("rid", *one)
     out = materialize(whole.union(windows.where("again").select("rid", *one)).union(earlier), "spans")
     discard(first, placed, mixed, left, windows, least)
-    _release(docs)
+    release(docs)
     return out
 
 
