@@ -1,16 +1,16 @@
 """Mixing to target weights by soft membership.
 
-A classifier trained on the labelled table gives each document a posterior over domains.
+Classifiers trained on the labelled table give each document a posterior over domains.
 Nonnegative document rates then minimise the squared distance between the expected tokens
-of each domain and its target, by projected gradient steps in the metric of the documents'
-tokens. From the common start the rate of a document follows from its posterior and the
-few residuals of the steps so far, so no state is kept per document: the totals are summed
-over cells of equal posteriors, and the final rates are one expression.
+of each domain and its target, with a small weight on staying near 1, by lazily projected
+gradient steps: a document's rate is the projection to 0 or more of 1 less its posterior
+times the residuals gathered so far. So a few numbers are all the state there is, the
+totals are one distributed sum over cells of equal posteriors for each step, and the final
+rates are one expression.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,82 +18,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
-from tessera.llm.linear import Ftrl, gather, sample_labels, score_texts, word_ngrams
+from tessera.llm.linear import score_texts, sigmoid, word_ngrams, word_presence
+from tessera.llm.quality import fit_quality
+from tessera.llm.toxicity import fit_toxicity
 from tessera.session import materialize
 
 #: Domains by the labels: toxic before quality. Default targets are shares of the expected tokens.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-#: Bounds of the training sample: labelled rows, and features of one text.
-MAX_ROWS, MAX_FEATURES, EPOCHS, SCALE = 4000, 4096, 3, 20.0
-STEPS, TOLERANCE = 40, 1e-4
-
-
-def domain_label() -> Column:
-    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
+#: Steps at most, the largest error of a share, and the weight of staying near 1.
+STEPS, TOLERANCE, RIDGE = 40, 1e-4, 1e-5
 
 
 @dataclass
 class DomainModel:
-    weights: np.ndarray
-    bias: np.ndarray
-
-
-def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DomainModel:
-    """Softmax regression over hashed word n-grams, by follow-the-regularised-leader updates, from at most max_rows rows."""
-    rows = gather(docs, sample_labels(labels, domain_label(), F.lit(True), max_rows), word_ngrams, MAX_FEATURES)
-    k = len(DOMAINS)
-    model, bias, one = Ftrl(k, l1=0.02), Ftrl(k, dim=1), np.zeros(1, np.int64)
-    for _ in range(EPOCHS):
-        for y, f, x in rows:
-            x = x * SCALE
-            w = [model.weights(f, c) for c in range(k)]
-            b = [bias.weights(one, c) for c in range(k)]
-            z = np.array([w[c] @ x + b[c][0] for c in range(k)])
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            for c in range(k):
-                g = p[c] - (y == c)
-                model.step(f, w[c], g * x, c)
-                bias.step(one, b[c], np.array([g]), c)
-    return DomainModel(np.stack([model.weights(k=c) for c in range(k)]).astype(np.float32).T * np.float32(SCALE), np.array([bias.weights(one, c)[0] for c in range(k)]))
+    """The quality and toxicity models: good and poor share what is not toxic."""
+
+    quality: np.ndarray
+    bias: float
+    toxicity: np.ndarray
+    threshold: float
+
+    def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n = len(offsets) - 1
+        f, d = word_ngrams(data, offsets)
+        mean = np.bincount(d, weights=self.quality[f].astype(np.float64), minlength=n) / np.maximum(np.bincount(d, minlength=n), 1)
+        good = sigmoid(mean + self.bias)
+        f, d = word_presence(data, offsets)
+        toxic = sigmoid(np.bincount(d, weights=self.toxicity[f].astype(np.float64), minlength=n) - self.threshold)
+        return np.round(np.column_stack([(1 - toxic) * good, (1 - toxic) * (1 - good), toxic]), 3)
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
+    """Both models from bounded samples of the labelled rows (see their modules)."""
+    weights, bias = fit_quality(docs, labels)
+    ordinal = fit_toxicity(docs, labels)
+    return DomainModel(weights, bias, ordinal.weights, float(ordinal.thresholds[0]))
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, columns: list[Column] | None = None, prefix: str = "p_") -> DataFrame:
     """Columns (all if None), the posterior of each domain rounded to three places, and `{prefix}tokens`, the words of the text.
 
-    Null and empty texts have no tokens and the prior of the training sample as posterior.
+    Null and empty texts have no tokens and the posterior of the models' intercepts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    k = len(DOMAINS)
 
     def rate(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        f, d = word_ngrams(data, offsets)
-        n, m = len(offsets) - 1, shared.value
-        count = np.maximum(np.bincount(d, minlength=n), 1)
-        z = np.stack([np.bincount(d, weights=m.weights[f, c].astype(np.float64), minlength=n) / count + m.bias[c] for c in range(k)], axis=1)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p = np.round(p / p.sum(axis=1, keepdims=True), 3)
-        words = np.bincount(tk.word_spans(data, offsets, tk.NOT_BLANK)[2], minlength=n)
-        return np.column_stack([p, words])
+        words = np.bincount(tk.word_spans(data, offsets, tk.NOT_BLANK)[2], minlength=len(offsets) - 1)
+        return np.column_stack([shared.value.posteriors(data, offsets), words])
 
     return score_texts(docs, columns, rate, [prefix + c for c in (*DOMAINS, "tokens")])
 
 
-def rate_column(posterior: list[Column], steps: list[list[float]]) -> Column:
-    """The rate after these steps (scaled residuals), from 1 and never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # folds to one literal, whatever its length
-    return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(r - sum((s[i] * p for i, p in enumerate(posterior)), F.lit(0.0)), F.lit(0.0)))
+def rate_column(posterior: list[Column], price: list[float]) -> Column:
+    """The rate at these gathered residuals, one for each domain."""
+    return F.greatest(F.lit(1.0) - sum((F.lit(float(x)) * p for x, p in zip(price, posterior, strict=True)), F.lit(0.0)), F.lit(0.0))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, prefix: str = "p_") -> list[list[float]]:
-    """The scaled residuals of the gradient steps. Targets are shares of `budget` times all tokens. No tokens: no steps.
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, prefix: str = "p_") -> list[float]:
+    """The gathered residuals at the optimum. Targets are shares of `budget` times all tokens. No tokens: zeros.
 
-    Each step is one distributed sum. The gradient of a rate is its posterior times the residuals;
-    these are scaled by the inverse Gram matrix of the documents whose rate is not at 0, which
-    spares the hundreds of plain steps that a rare domain needs. A step that doesn't help is halved.
+    Residuals are scaled by the inverse Gram matrix of the documents whose rate is above 0, which
+    spares the hundreds of plain steps that a rare domain needs; a step that does not lower the
+    (convex) dual objective is halved. Targets that no rates can meet end at the least squares.
     """
     names = [prefix + c for c in DOMAINS]
     cells = materialize(scored.groupBy(*names).agg(F.sum(prefix + "tokens").alias("t")), "cells")
@@ -101,23 +88,24 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
     k = len(p)
     share = np.array([targets.get(c, 0.0) for c in DOMAINS])
     goal = share / share.sum() * budget
-    steps: list[list[float]] = []
-    error, scale = np.inf, 1.0
+    r = F.col("r")
+    sums = [F.sum("t"), F.sum(F.col("t") * r * r), *(F.sum(F.col("t") * r * x) for x in p), *(F.sum(F.when(r > 0, F.col("t") * x * y)) for x in p for y in p)]
+    price, step, best = np.zeros(k), np.zeros(k), np.inf
     for _ in range(STEPS):
-        r = F.col("r")
-        sums = [F.sum("t"), *(F.sum(F.col("t") * r * x) for x in p), *(F.sum(F.when(r > 0, F.col("t") * x * y)) for x in p for y in p)]
-        got = [float(x or 0) for x in cells.withColumn("r", rate_column(p, steps)).agg(*sums).first()]
+        got = [float(x or 0) for x in cells.withColumn("r", rate_column(p, list(price + step))).agg(*sums).first()]
         if got[0] <= 0:
-            return []
-        left = np.array(got[1 : k + 1]) / got[0] - goal
-        if np.abs(left).max() < TOLERANCE:
+            return [0.0] * k
+        at = price + step
+        value = got[1] / got[0] / 2 + at @ goal + RIDGE / 2 * at @ at
+        if value > best:
+            step = step / 2
+            continue
+        price, best = at, value
+        slope = np.array(got[2 : k + 2]) / got[0] - goal - RIDGE * price
+        if np.abs(slope).max() < TOLERANCE:
             break
-        if np.abs(left).max() > 0.9 * error:
-            scale /= 2
-        error = min(error, np.abs(left).max())
-        gram = np.array(got[k + 1 :]).reshape(k, k) / got[0]
-        steps.append([float(x) for x in scale * np.linalg.solve(gram + 1e-6 * np.eye(k), left)])
-    return steps
+        step = np.linalg.solve(np.array(got[k + 2 :]).reshape(k, k) / got[0] + RIDGE * np.eye(k), slope)
+    return [float(x) for x in price]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, columns: list[Column] | None = None, prefix: str = "p_") -> DataFrame:

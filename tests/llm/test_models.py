@@ -94,9 +94,7 @@ def test_mixing_rates_solve_the_least_squares_brute_force(spark):
     t = rng.integers(1, 500, 200)
     df = spark.createDataFrame([(*map(float, x), float(n)) for x, n in zip(p, t, strict=True)], "p_good double, p_poor double, p_toxic double, p_tokens double")
     steps = mixing.fit_rates(df, {"good": 0.6, "poor": 0.3, "toxic": 0.1})
-    r = np.ones(200)
-    for s in steps:
-        r = np.maximum(r - p @ np.array(s), 0)
+    r = np.maximum(1 - p @ np.array(steps), 0)
     assert np.abs((t * r) @ p / t.sum() - [0.6, 0.3, 0.1]).max() < 1e-3
     got = df.select(mixing.rate_column([F.col("p_good"), F.col("p_poor"), F.col("p_toxic")], steps).alias("r")).toPandas().r
     assert np.allclose(np.sort(got), np.sort(r))
