@@ -121,7 +121,13 @@ def fit_langid(docs: DataFrame, keep: Column | None = None, max_windows: int = M
     """
     keep = F.lit(True) if keep is None else keep
     rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & keep).select(F.xxhash64("text", F.lit(3)).alias("h"), "lang", "text")
-    sample = rows.mapInArrow(_one_window, "h long, lang string, piece binary").orderBy("h", "lang", "piece").limit(max_windows).toArrow()
+    # Thinned as whole texts are, before windows are cut; the limit is taken of the windows.
+    share = (4 * max_windows + 1000) / max(docs.where("lang is not null").count(), 1)
+    top = 1_000_000_007
+    place = F.pmod(F.xxhash64("h"), F.lit(top))
+    near = rows.where(place < int(top * share)) if share < 1 else rows
+    cut = near.mapInArrow(_one_window, "h long, lang string, piece binary")
+    sample = cut.orderBy(place, "h", "lang", "piece").limit(max_windows).toArrow()
     langs = sorted(set(sample["lang"].to_pylist()))
     windows = np.zeros((sample.num_rows, WINDOW), np.int32)
     for i, raw in enumerate(sample["piece"].to_pylist()):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, quality, toxicity
-from tessera.llm.linear import held
+from tessera.llm.linear import held, thinned
 
 DIR = "/root/testdata/sf0.01"
 
@@ -103,3 +103,13 @@ def test_mixing_rates_solve_the_least_squares_brute_force(spark):
 def test_mixing_edge_rows(spark, labels, docs):
     got = mixing.mix(odd(spark), labels, columns=[F.col("doc_id"), F.col("score")]).collect()
     assert len(got) == 8 and mixing.mix(odd(spark).limit(0), labels, columns=[F.col("doc_id")]).count() == 0
+
+
+def test_thinning_keeps_the_smallest_places(spark):
+    rows = spark.range(60_000)
+    place = F.xxhash64("id")
+    want = rows.orderBy(F.pmod(place, F.lit(1_000_000_007)), "id").limit(50)
+    assert [r.id for r in thinned(rows, place, 50).collect()] == [r.id for r in want.collect()]
+    assert thinned(rows.limit(0), place, 50).count() == 0
+    docs = rows.select("id", F.concat(F.lit("text number "), "id").alias("text"), F.lit("en").alias("lang"))
+    assert langid.fit_langid(docs, max_windows=64).langs == ["en"]
