@@ -3,7 +3,7 @@
 Classifiers trained on the labelled table give each document a posterior over domains.
 Nonnegative document rates then minimise the squared distance between the expected tokens
 of each domain and its target, with a small weight on staying near 1, by lazily projected
-gradient steps: a document's rate is the projection to 0 or more of 1 less its posterior
+gradient steps: a document's rate is the projection to 0 and MOST of 1 less its posterior
 times the residuals gathered so far. So a few numbers are all the state there is, the
 totals are one distributed sum over cells of equal posteriors for each step, and the final
 rates are one expression.
@@ -28,6 +28,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 #: Steps at most, the largest error of a share, and the weight of staying near 1.
 STEPS, TOLERANCE, RIDGE = 40, 1e-4, 1e-5
+#: The highest rate: no document stands more often, whatever a target asks for.
+MOST = 4.0
 
 
 @dataclass
@@ -71,14 +73,18 @@ def with_posteriors(docs: DataFrame, model: DomainModel, columns: list[Column] |
 
 
 def rate_column(posterior: list[Column], price: list[float]) -> Column:
-    """The rate at these gathered residuals, one for each domain."""
-    return F.greatest(F.lit(1.0) - sum((F.lit(float(x)) * p for x, p in zip(price, posterior, strict=True)), F.lit(0.0)), F.lit(0.0))
+    """The rate at these gathered residuals, one for each domain: within 0 and MOST."""
+    return F.least(F.greatest(F.lit(1.0) - _pull(posterior, price), F.lit(0.0)), F.lit(MOST))
+
+
+def _pull(posterior: list[Column], price: list[float]) -> Column:
+    return sum((F.lit(float(x)) * p for x, p in zip(price, posterior, strict=True)), F.lit(0.0))
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, prefix: str = "p_") -> list[float]:
     """The gathered residuals at the optimum. Targets are shares of `budget` times all tokens. No tokens: zeros.
 
-    Residuals are scaled by the inverse Gram matrix of the documents whose rate is above 0, which
+    Residuals are scaled by the inverse Gram matrix of the documents whose rate is at no bound, which
     spares the hundreds of plain steps that a rare domain needs; a step that does not lower the
     (convex) dual objective is halved. Targets that no rates can meet end at the least squares.
     """
@@ -89,14 +95,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
     share = np.array([targets.get(c, 0.0) for c in DOMAINS])
     goal = share / share.sum() * budget
     r = F.col("r")
-    sums = [F.sum("t"), F.sum(F.col("t") * r * r), *(F.sum(F.col("t") * r * x) for x in p), *(F.sum(F.when(r > 0, F.col("t") * x * y)) for x in p for y in p)]
+    sums = [F.sum("t"), F.sum(F.col("t") * ((r - 1) * (r - 1) / 2 + F.col("u") * r)), *(F.sum(F.col("t") * r * x) for x in p), *(F.sum(F.when((r > 0) & (r < MOST), F.col("t") * x * y)) for x in p for y in p)]
     price, step, best = np.zeros(k), np.zeros(k), np.inf
     for _ in range(STEPS):
-        got = [float(x or 0) for x in cells.withColumn("r", rate_column(p, list(price + step))).agg(*sums).first()]
+        got = [float(x or 0) for x in cells.withColumn("r", rate_column(p, list(price + step))).withColumn("u", _pull(p, list(price + step))).agg(*sums).first()]
         if got[0] <= 0:
             return [0.0] * k
         at = price + step
-        value = got[1] / got[0] / 2 + at @ goal + RIDGE / 2 * at @ at
+        value = at @ goal + RIDGE / 2 * at @ at - got[1] / got[0]
         if value > best:
             step = step / 2
             continue
