@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash windows, in Spark SQL expressions only.
 
-A window of an item's size can only be similar to it if the two share a shingle. So all
-shingles of all texts meet the items' shingles, and each run of shared ones aligns one
-window of the item's size. The window's 64-bit SimHash is held against the item's through
-multi-index blocks: with one block more than the radius has bits, two fingerprints within
-the radius agree in a block. What is left is decided by the exact weighted similarity.
+A window of an item's size can only be similar to it if the shingles they share weigh the
+threshold's part of the item. So all shingles of all texts meet the items' shingles, and
+every window, wherever it starts, goes on whose shared shingles weigh that much: each of
+them adds its weight to the windows that hold it, so running sums over the starts tell. The
+window's 64-bit SimHash is held against the item's through multi-index blocks: with one
+block more than the radius has bits, two fingerprints within the radius agree in a block.
+What is left is decided by the exact weighted similarity.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.licenses import words
@@ -28,14 +31,18 @@ def grams(w: Column, k: int) -> Column:
     )
 
 
+def shingle_weight(part: Column) -> Column:
+    """A shingle weighs 1 and 1 more for each of its words of four or more letters, so runs of function words count little."""
+    return (F.lit(1) + F.size(F.filter(part, lambda x: F.length(x) >= 4))).cast("long")
+
+
 def weighted_shingles(w: Column, k: int) -> Column:
-    """Distinct (hash, weight) of the shingles of k words, or of the whole if shorter. A shingle weighs 1
-    and 1 more for each of its words of four or more letters, so runs of function words count little."""
+    """Distinct (hash, weight) of the shingles of k words, or of the whole if shorter."""
     n = F.least(F.lit(k), F.size(w))
 
     def one(i: Column) -> Column:
         part = F.slice(w, i + 1, n)
-        return F.struct(F.xxhash64(F.array_join(part, " ")).alias("h"), (F.lit(1) + F.size(F.filter(part, lambda x: F.length(x) >= 4))).cast("long").alias("v"))
+        return F.struct(F.xxhash64(F.array_join(part, " ")).alias("h"), shingle_weight(part).alias("v"))
 
     return F.when(F.size(w) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), one)))
 
@@ -67,12 +74,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
     """doc_id, text_hash, item_id, similarity, n_places, first_word of every text and item that meet.
 
     Both are words of ASCII letters, digits and non-ASCII characters, A-Z folded. An item meets
-    a text if an aligned window of its size has den * common weight >= num * joint weight of the
-    distinct shingles of k words; items of fewer words are one shingle. At the threshold,
-    fingerprints differ in about ten bits, so a radius of 28 loses no pair in about 1e9. Items
-    of equal words are one item, the smallest item_id; null texts and items without words meet
-    nothing. Repeated rows are listed once each; null ids are kept. A text shorter than an item
-    is one window. Other columns are not read.
+    a text if any window of its size has den * common weight >= num * joint weight of the
+    distinct shingles of k words; items of fewer words are one shingle. Windows that start at
+    neighbouring words are one place; first_word is the start of the most similar window of the
+    first place. At the threshold, fingerprints differ in about ten bits, so a radius of 28
+    loses no pair in about 1e9. Items of equal words are one item, the smallest item_id; null
+    texts and items without words meet nothing. Repeated rows are listed once each; null ids are
+    kept. A text shorter than an item is one window. Other columns are not read.
     """
     item = benchmark.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     item = item.groupBy("iw").agg(F.min("item_id").alias("item_id")).withColumn("no", F.monotonically_increasing_id())
@@ -80,34 +88,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
     lengths = sorted(r.kk for r in items.select("kk").distinct().collect())  # at most k values
     total = items.agg(F.sum(F.col("m") - F.col("kk") + 1)).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_GRAMS))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    met = []
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    hits = []
     for n in lengths:
-        parts = items.where(F.col("kk") == n).withColumn("ig", grams(F.col("iw"), n))
-        parts = parts.select("no", "m", "ig", F.posexplode("ig").alias("q", "g")).withColumn("before", F.when(F.col("q") > 0, F.element_at("ig", F.greatest("q", F.lit(1))))).drop("ig")
-        placed = texts.withColumn("tg", grams(F.col("w"), n)).select("row", "doc_id", "text_hash", "w", "tg", F.posexplode("tg").alias("p", "g"))
+        parts = items.where(F.col("kk") == n).withColumn("least", weight(weighted_shingles(F.col("iw"), k)) * num)
+        parts = parts.select("no", "m", "least", "iw", F.posexplode(grams(F.col("iw"), n)).alias("q", "g"))
+        parts = parts.withColumn("v", shingle_weight(F.slice("iw", F.col("q") + 1, F.lit(n)))).select("no", "m", "least", "g", "v").distinct()
+        # The row's number keeps Spark from moving a test of tg below the split into words, which it would then repeat for every shingle.
+        placed = docs.select(F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+        placed = placed.withColumns({"tg": grams(F.col("w"), n), "row": F.monotonically_increasing_id()}).where("row >= 0").select("text_hash", F.size("w").alias("n"), F.posexplode("tg").alias("p", "g"))
         for b in range(n_blocks):
             block = F.broadcast(parts.where(F.pmod(F.col("no"), F.lit(n_blocks)) == b))
-            # The first of a run of shared shingles aligns the window for the whole run.
-            begins = (F.col("q") == 0) | (F.col("p") == 0) | (F.element_at("tg", F.greatest("p", F.lit(1))) != F.col("before"))
-            start = F.greatest(F.least(F.col("p") - F.col("q"), F.size("w") - F.col("m")), F.lit(0))
-            met.append(placed.join(block, "g").where(begins).select("row", "doc_id", "text_hash", "no", start.alias("start"), F.slice("w", start + 1, F.col("m")).alias("window")))
-    if not met:
+            # The first and the last window that hold this shingle.
+            first, last = F.greatest(F.col("p") + n - F.col("m"), F.lit(0)), F.greatest(F.least(F.col("p"), F.col("n") - F.col("m")), F.lit(0))
+            hits.append(placed.join(block, "g").select("text_hash", "no", "m", "least", "p", "v", first.alias("lo"), last.alias("hi")))
+    if not hits:
         return texts.where("false").select("doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_places"), F.lit(0).cast("long").alias("first_word"))
+    # Repeated texts count once; texts of equal hashes can only add windows, which the exact similarity decides.
+    pair = ["text_hash", "no", "m", "least"]
+    found = reduce(DataFrame.unionAll, hits).repartition("text_hash", "no").distinct()
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.col("v").alias("d")), F.struct((F.col("hi") + 1).alias("at"), (-F.col("v")).alias("d")))
+    steps = found.select(*pair, F.inline(ends)).groupBy(*pair, "at").agg(F.sum("d").alias("d"))
+    by_start = W.partitionBy("text_hash", "no").orderBy("at")
+    sums = steps.withColumn("both", F.sum("d").over(by_start.rowsBetween(W.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(by_start))
+    runs = materialize(sums.where((F.col("both") > 0) & (F.col("both") * den >= F.col("least"))).select("text_hash", "no", "m", F.col("at").alias("lo"), (F.col("to") - 1).alias("hi")), "runs")
     # Cut here, so that the arrays below are computed once for each window.
-    windows = reduce(DataFrame.unionAll, met)
+    windows = texts.join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "no", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
+    windows = windows.select("row", "doc_id", "text_hash", "no", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("window"))
     windows = materialize(windows.withColumn("ws", weighted_shingles(F.col("window"), k)).drop("window"), "windows")
     known = materialize(items.select("no", "item_id", weighted_shingles(F.col("iw"), k).alias("is")), "shingles")
     prints = lambda df, c, o: materialize(df.withColumn(o, simhash(F.col(c))), "prints")
     pairs = prints(windows, "ws", "wf").join(prints(known, "is", "if"), "no")
     near = pairs.where(F.arrays_overlap(blocks(F.col("wf"), radius), blocks(F.col("if"), radius)) & (F.bit_count(F.col("wf").bitwiseXOR(F.col("if"))) <= radius))
     common = near.withColumn("both", weight(F.array_intersect("ws", "is"))).withColumn("joint", weight(F.array_union("ws", "is")))
-    return (
-        common.where(F.col("both") * den >= F.col("joint") * num)
-        .groupBy("row", "doc_id", "text_hash", "item_id")
-        .agg(F.max(F.round(F.col("both") / F.col("joint"), 6)).alias("similarity"), F.countDistinct("start").alias("n_places"), F.min("start").cast("long").alias("first_word"))
-        .drop("row")
-    )
+    similar = common.where(F.col("both") * den >= F.col("joint") * num).withColumn("similarity", F.round(F.col("both") / F.col("joint"), 6))
+    one = ["row", "doc_id", "text_hash", "item_id"]
+    starts = W.partitionBy("row", "item_id").orderBy("start")
+    places = similar.withColumn("place", F.col("start") - F.row_number().over(starts)).groupBy(*one, "place").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    first = F.min(F.struct("place", (-F.col("best.back")).alias("start")))["start"]
+    return places.groupBy(*one).agg(F.max("best.similarity").alias("similarity"), F.count("*").alias("n_places"), first.cast("long").alias("first_word")).drop("row")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:

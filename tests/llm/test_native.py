@@ -80,6 +80,48 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in bad) and clean.columns == ["doc_id", "text", "tid", "label"]
 
 
+def all_windows(docs, items, k=5, num=4, den=5):
+    """{(doc_id, item_id): (similarity, places, first word)} over every window of the item's size, wherever it starts."""
+
+    def weighted(w):
+        n = min(k, len(w))
+        return {tuple(w[i : i + n]): 1 + sum(len(x) >= 4 for x in w[i : i + n]) for i in range(len(w) - n + 1)} if w else {}
+
+    out = {}
+    for d, t in docs:
+        w = brute.plain_words(t)
+        for i, x in items:
+            v = brute.plain_words(x)
+            b, rates = weighted(v), {}
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a = weighted(w[s : s + len(v)])
+                both, joint = sum(c for y, c in a.items() if y in b), sum({**a, **b}.values())
+                if both and den * both >= num * joint:
+                    rates[s] = round(both / joint, 6)
+            firsts = [s for s in sorted(rates) if s - 1 not in rates]
+            if firsts:
+                run = [s for s in sorted(rates) if all(z in rates for z in range(firsts[0], s))]
+                out[d, i] = (max(rates.values()), len(firsts), max(run, key=lambda s: (rates[s], -s)))
+    return out
+
+
+def test_leaks_of_every_window_equal_brute_force(spark):
+    """Halves of an item the other way round share no diagonal with it, but most shingles."""
+    rng = random.Random(9)
+    item = [f"word{i}" for i in range(60)]
+    pad = lambda n: [f"pad{rng.randrange(9999)}" for _ in range(n)]
+    turned = item[30:] + item[:30]
+    docs = [(0, pad(80) + turned + pad(80)), (1, turned), (2, pad(9) + item + pad(40) + turned + pad(3)), (3, pad(20) + item[:30] + pad(2) + item[30:] + pad(20)), (4, item[:50]), (5, item * 3)]
+    docs += [(6 + c, pad(30) + item[c:] + item[:c] + pad(30)) for c in range(0, 60, 7)]
+    docs += [(20 + c, pad(10) + item[20:40] + item[:20] + item[40 : 40 + c] + pad(10)) for c in range(0, 21, 4)]
+    docs = [(d, " ".join(w)) for d, w in docs] + [(50, "the of the of the of the of the"), (51, "solo word1 solo solo"), (52, None), (53, "")]
+    items = [(1, " ".join(item)), (2, "the of the of the of"), (3, "solo"), (4, " ".join(item[:12] + item[6:18]))]
+    got = decontam.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = all_windows(docs, items)
+    assert {(r.doc_id, r.item_id): (r.similarity, r.n_places, r.first_word) for r in got} == want and len(got) == len(want)
+    assert (0, 1) in want and (0, 1) not in brute.leaks(docs, items)
+
+
 def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame(item_rows(random.Random(6)), "item_id long, text string")
     docs = frame(spark, [(i, t) for i, t in item_rows(random.Random(6))])
