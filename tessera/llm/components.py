@@ -28,3 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             discard(both)
             return labels
+
+
+def contract(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after edges between labels: every node of `labels`, and every label of an edge."""
+    new = components(edges)
+    moved = labels.join(new.select(F.col("node").alias("__node"), F.col("label").alias("__label")), F.col("label") == F.col("__node"), "left").select("node", F.coalesce("__label", "label").alias("label"))
+    out = materialize(moved.unionByName(new.join(labels, "node", "left_anti").select("node", "label")), "labels")
+    discard(new, labels)
+    return out

@@ -6,17 +6,20 @@ bits. Bands of four registers propose links, a collision-corrected Jaccard estim
 drops hopeless ones, and the full sets decide the rest.
 
 Texts with equal sets form a class, and links are sought between classes. Within a band
-bucket every class is held against the bucket's first one. In buckets whose members then
-still lie in several components, blocks of members outside the largest component meet
-blocks of all members, and every pair of different components is decided on its full sets
-inside the block pair, once for all the buckets that it shares. So a bucket costs one pair
-for each member as long as its members belong together, no pair of different components
-goes unseen, no pairs are listed, and no group is ever gathered in one task.
+bucket every class is held against one hub; found links contract the classes to
+components, and buckets that then still hold several components get another hub from
+outside their largest one, as long as that finds many links. So a bucket of m members
+yields at most m links a round. What is open then is decided whole: blocks of the members
+outside the largest component meet blocks of all members, first with their sketches alone,
+then, where a pair is left to decide, with their texts. Each pair of different components
+is decided once on its full sets, and a task lists only links that join two components it
+has not yet joined. No group is ever gathered in one task, and a block's size is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,16 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
-from tessera.llm.components import components
+from tessera.llm.components import components, contract
 from tessera.llm.linear import by_block
-from tessera.session import discard, materialize, release
+from tessera.session import discard, materialize
 
 U64 = tk.U64
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA = 10
-#: Members of an open bucket that are held together.
-BLOCK = 128
+#: Open buckets get another hub while one in so many of the last round's pairs is a link, in so many rounds at most.
+USEFUL, ROUNDS = 8, 8
+#: What is held together when open buckets are decided whole: members, and their shingles.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: For each register the order in which others are asked to stand in for an empty one.
 _STAND_IN = np.argsort(tk.mix64(np.arange(REGISTERS * REGISTERS, dtype=U64)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -104,20 +109,24 @@ def _set_ids(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
 def _features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, cid (None for an empty set) and regs of every row."""
+    """doc_id, th (the text's hash), n, cid (None for an empty set) and regs of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in by_block(b.column(1)):
+            for i, j, data, offsets in by_block(b.column(2)):
                 h, d, bounds = shingle_sets(data, offsets, k)
                 regs = sketch(h, d, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(bounds), pa.int64()), pa.array(_set_ids(h, bounds), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["doc_id", "n", "cid", "regs"],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(bounds), pa.int64()), pa.array(_set_ids(h, bounds), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["doc_id", "th", "n", "cid", "regs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cid binary, regs binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n long, cid binary, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -147,19 +156,17 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int) -> DataFrame:
-    """(nid, text): one text of every class asked for. A row of the right doc_id with another set is passed over."""
-    want = classes.join(nids, "nid", "left_semi").select("nid", "cid", F.col("doc").alias("__doc"))
-    rows = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("nid", "cid", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offsets in by_block(b.column(2)):
-                h, _, bounds = shingle_sets(data, offsets, k)
-                right = pa.array([x == y for x, y in zip(_set_ids(h, bounds), b.column(1).slice(i, j - i).to_pylist(), strict=True)], pa.bool_())
-                yield b.slice(i, j - i).select(["nid", "text"]).filter(right)
-
-    return rows.mapInArrow(run, "nid long, text string")
+def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame) -> DataFrame:
+    """(nid, text): one text of every class asked for."""
+    want = classes.join(nids, "nid", "left_semi").select("nid", F.col("at.doc_id").alias("__doc"), F.col("at.th").alias("__th"))
+    met = (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
+    out = materialize(_keyed(docs).join(want, met).select("nid", "text"), "texts")
+    if out.count() == nids.count():
+        return out
+    # Rows that repeat doc_id and text: one of each stays.
+    one = materialize(out.dropDuplicates(["nid"]), "texts")
+    discard(out)
+    return one
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -184,78 +191,197 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, nid, label, main, parts) of the buckets that hold several components: the label of the largest one, and how many blocks to deal."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, bool]:
+    """The links among proposed pairs, written; and whether they are many enough for another round of hubs."""
+    likely = materialize(_likely(pairs, classes, num, den), "pairs")
+    nids = materialize(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nids")
+    texts = _texts(docs, classes, nids)
+    links = materialize(_links(likely, texts, k, num, den), "links")
+    useful = links.count() * USEFUL >= likely.count()
+    discard(likely, nids, texts)
+    return links, useful
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, nid, n, label, main): the members of buckets that hold several components, and the label of each bucket's largest one."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     known = labels.join(sizes, "label").select(F.col("node").alias("nid"), "label", "size")
-    rows = members.join(known, "nid", "left").select("key", "nid", F.coalesce("label", "nid").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", "size").alias("main"), F.count("*").alias("m")).where("lo < hi")
-    return rows.join(materialize(keys.select("key", "main", F.ceil(F.col("m") / BLOCK).alias("parts")), "open"), "key").select("key", "nid", "label", "main", "parts")
+    rows = members.select("key", "nid", "n").join(known, "nid", "left").select("key", "nid", "n", F.coalesce("label", "nid").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("size", "label")).alias("main")).where("lo < hi")
+    return rows.drop("size").join(keys.select("key", "main"), "key")
 
 
-def _keys(classes: DataFrame, nids: DataFrame) -> DataFrame:
-    """(nid, n, keys): all band keys of the classes asked for."""
+def _around_hubs(opened: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each open bucket one member outside the largest component, another in each turn, and all members of other components."""
+    hub = opened.where("label <> main").groupBy("key").agg(F.min_by(F.struct("nid", "label"), F.xxhash64("nid", F.lit(turn))).alias("hub"))
+    met = opened.join(hub, "key").where(F.col("label") != F.col("hub.label"))
+    return met.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [k.tobytes() for k in band_keys(_matrix(b.column(2)))] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["nid", "n", "keys"])
 
-    return classes.join(nids, "nid", "left_semi").select("nid", "n", "regs").mapInArrow(run, "nid long, n long, keys binary")
+def _blocks(opened: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Members of open buckets in blocks (key, part, minor, parts, and lists of nid, label, n, regs and, if given, text)."""
+    columns = ["nid", "label", "n", "regs", *(["text"] if texts is not None else [])]
+    parts = opened.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    full = opened.join(parts, "key").join(classes.select("nid", "regs"), "nid")
+    full = full if texts is None else full.join(texts, "nid")
+    full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
+    return full.groupBy("key", "part", "minor").agg(F.first("parts").alias("parts"), *(F.collect_list(c).alias(c) for c in columns))
 
 
-def _blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of open buckets in blocks (key, minor, and lists of nid, label, n, keys, text)."""
-    columns = ("nid", "label", "n", "keys", "text")
-    full = rows.join(_keys(classes, rows.select("nid").distinct()), "nid").join(texts, "nid")
-    full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
-    return materialize(full.groupBy("key", "minor", "part").agg(*(F.collect_list(c).alias(c) for c in columns)), "blocks")
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """Each block of members outside a bucket's largest component (columns a_*) beside each block of the bucket, dealt out by the latter."""
+    columns = [c for c in blocks.columns if c not in ("key", "part", "minor", "parts")]
+    a = blocks.where("minor").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    return a.join(blocks.select("key", "part", *columns), ["key", "part"])
+
+
+@dataclass
+class _Side:
+    """One block of a pair of blocks."""
+
+    nid: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    regs: np.ndarray
+    keys: np.ndarray
+    text: pa.Array | None
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, r: int, mark: str) -> _Side:
+        get = lambda c: b.column(b.schema.get_field_index(mark + c))[r].values
+        regs = _matrix(get("regs"))
+        return cls(*(np.asarray(get(c)) for c in ("nid", "label", "n")), regs, band_keys(regs), get("text") if mark + "text" in b.schema.names else None)
+
+    def due(self, i: int, other: _Side, key: int, num: int, den: int) -> np.ndarray:
+        """The other block's members of other components that may be linked with member i, each in the bucket of their first common band."""
+        same = other.keys == self.keys[i]
+        first = same.argmax(axis=1)
+        due = same.any(axis=1) & (self.keys[i][first] == key) & (other.label != self.label[i])
+        at = np.flatnonzero(due & (np.minimum(other.n, self.n[i]) * den >= np.maximum(other.n, self.n[i]) * num))
+        return at[~hopeless(self.regs[i : i + 1], other.regs[at], num / den)] if len(at) else at
+
+
+class _Forest:
+    """Components of labels that a task has joined so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
-def _block_links(blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between members of different components of the same bucket."""
-    columns = ("nid", "label", "n", "keys", "text")
-    a = blocks.where("minor").select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
-    pairs = a.join(blocks.select("key", *columns), "key")
+def _asked(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, nid) of the members that have any partner to be decided in that bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            new: set[tuple[int, int]] = set()
+            for r in range(b.num_rows):
+                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_"), _Side.of(b, r, "")
+                for i in range(len(x.nid)):
+                    if len(at := x.due(i, y, key, num, den)):
+                        new.update((key, n) for n in (int(x.nid[i]), *y.nid[at].tolist()))
+            new -= seen
+            seen |= new
+            got = np.array(sorted(new), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["key", "nid"])
+
+    return pairs.mapInArrow(run, "key long, nid long").distinct()
+
+
+def _block_links(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between the components of members that share a bucket, as labels; a task lists no link that its others imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
+        held = 0
+        forest = _Forest()
 
-        def full_set(nid: int, text: pa.StringScalar) -> np.ndarray:
+        def full_set(side: _Side, i: int) -> np.ndarray:
+            nonlocal held
+            nid = int(side.nid[i])
             if nid not in cache:
-                if len(cache) >= 4 * BLOCK:
+                if held > 4 * BLOCK_SHINGLES:
                     cache.clear()
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                    held = 0
+                raw = np.frombuffer(side.text[i].as_buffer(), np.uint8)
                 cache[nid] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+                held += len(cache[nid])
             return cache[nid]
 
-        def side(row: dict[str, pa.ListScalar], mark: str) -> tuple[np.ndarray, ...]:
-            longs = (np.asarray(row[mark + c].values) for c in ("nid", "label", "n"))
-            return *longs, np.frombuffer(b"".join(row[mark + "keys"].values.to_pylist()), np.int64).reshape(-1, BANDS)
-
         for b in batches:
-            found: set[tuple[int, int]] = set()
+            found: list[tuple[int, int]] = []
             for r in range(b.num_rows):
-                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
-                key = row["key"].as_py()
-                (nid_a, label_a, n_a, keys_a), (nid, label, n, keys) = side(row, "a_"), side(row, "")
-                for i in range(len(nid_a)):
-                    # The pair's first common band decides in which bucket it is tried.
-                    same = keys == keys_a[i]
-                    first = same.argmax(axis=1)
-                    due = same.any(axis=1) & (keys_a[i][first] == key) & (label != label_a[i])
-                    due &= np.minimum(n, n_a[i]) * den >= np.maximum(n, n_a[i]) * num
-                    if len(at := np.flatnonzero(due)):
-                        own = full_set(int(nid_a[i]), row["a_text"].values[i])
-                        sets = [full_set(int(nid[j]), row["text"].values[j]) for j in at]
-                        every, owner = np.concatenate(sets), np.repeat(np.arange(len(at)), n[at])
-                        both = np.bincount(owner, weights=own[np.searchsorted(own, every).clip(0, len(own) - 1)] == every, minlength=len(at)).astype(np.int64)
-                        for j in at[den * both >= num * (n[at] + n_a[i] - both)]:
-                            found.add((min(int(nid_a[i]), int(nid[j])), max(int(nid_a[i]), int(nid[j]))))
-            got = np.array(sorted(found), np.int64).reshape(-1, 2)
+                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_"), _Side.of(b, r, "")
+                for i in range(len(x.nid)):
+                    mine = int(x.label[i])
+                    at = np.array([j for j in x.due(i, y, key, num, den) if forest.root(int(y.label[j])) != forest.root(mine)], np.int64)
+                    if not len(at):
+                        continue
+                    own, sets = full_set(x, i), [full_set(y, int(j)) for j in at]
+                    every, owner = np.concatenate(sets), np.repeat(np.arange(len(at)), y.n[at])
+                    both = np.bincount(owner, weights=own[np.searchsorted(own, every).clip(0, len(own) - 1)] == every, minlength=len(at)).astype(np.int64)
+                    linked = at[den * both >= num * (y.n[at] + x.n[i] - both)]
+                    found += [(mine, int(y.label[j])) for j in linked if forest.join(mine, int(y.label[j]))]
+            got = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _decided(opened: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links of all that is still open, as labels, written. Sketches tell first which members need their texts in which bucket."""
+    blocks = materialize(_blocks(opened, classes), "blocks")
+    asked = materialize(_asked(_block_pairs(blocks), num, den), "asked")
+    discard(blocks)
+    nids = materialize(asked.select("nid").distinct(), "nids")
+    texts = _texts(docs, classes, nids)
+    blocks = materialize(_blocks(opened.join(asked, ["key", "nid"], "left_semi"), classes, texts), "blocks")
+    discard(asked, nids, texts)
+    links = materialize(_block_links(_block_pairs(blocks), k, num, den), "links")
+    discard(blocks)
+    return links
+
+
+def _labels(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, label) of every class that has a link."""
+    buckets = _bands(classes).groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    shared = materialize(buckets, "buckets")
+    members = materialize(_bands(classes).join(shared, "key").join(classes.select("nid", "n"), "nid"), "members")
+    discard(shared)
+    pairs = members.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
+    links, useful = _confirmed(pairs, docs, classes, k, num, den)
+    labels, turn = components(links), 0
+    while True:
+        opened = materialize(_open(members, labels), "opened")
+        discard(members, links)
+        members, turn = opened, turn + 1
+        if not opened.limit(1).count():
+            break
+        if last := not useful or turn > ROUNDS:
+            links = _decided(opened, docs, classes, k, num, den)
+        else:
+            pairs, useful = _confirmed(_around_hubs(opened, turn), docs, classes, k, num, den)
+            place = opened.select("nid", "label").distinct()
+            named = pairs.join(place.select(F.col("nid").alias("a"), F.col("label").alias("la")), "a").join(place.select(F.col("nid").alias("b"), F.col("label").alias("lb")), "b")
+            links = materialize(named.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+            discard(pairs)
+        if links.limit(1).count():
+            labels = contract(labels, links)
+        if last:
+            break
+    discard(members, links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -271,32 +397,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     about 1e-10 (three words, 0.85) and is then missed, unless other links join it.
     """
     rows = materialize(_features(docs, k), "features")
-    found = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    found = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min(place).alias("at"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = materialize(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    buckets = _bands(classes).groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
-    shared = materialize(buckets, "buckets")
-    members = materialize(_bands(classes).join(shared, "key"), "members")
-    discard(shared)
-    pairs = materialize(_likely(members.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct(), classes, num, den), "pairs")
-    texts = materialize(_texts(docs, classes, members.select("nid").distinct(), k), "texts")
-    release(docs)
-    links = materialize(_links(pairs, texts, k, num, den), "links")
-    release(docs)
-    labels = components(links)
-    opened = materialize(_open_buckets(members.select("key", "nid"), labels), "opened")
-    blocks = _blocks(opened, classes, texts)
-    discard(pairs, members, opened, texts)
-    release(docs)
-    more = materialize(_block_links(blocks, k, num, den), "links")
-    discard(blocks)
-    release(docs)
-    if more.limit(1).count():
-        labels = components(links.union(more))
-    discard(links, more)
+    labels = _labels(docs, classes, k, num, den)
     named = classes.join(labels, classes.nid == labels.node, "left").select("cid", "doc", F.coalesce("label", "nid").alias("label"))
-    first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    ids = materialize(named.join(materialize(first, "first"), "label").select("cid", F.lit(True).alias("found"), "component_id"), "ids")
-    discard(classes)
-    release(docs)
+    first = materialize(named.groupBy("label").agg(F.min("doc").alias("component_id")), "first")
+    ids = materialize(named.join(first, "label").select("cid", F.lit(True).alias("found"), "component_id"), "ids")
+    discard(classes, labels, first)
     out = rows.select("doc_id", "n", "cid").join(ids, "cid", "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

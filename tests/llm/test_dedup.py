@@ -47,6 +47,28 @@ def test_near_duplicates_of_one_hot_group(spark):
     assert near(spark, rows, k=3, num=85, den=100) == want_near(rows, 3, 85, 100)
 
 
+def test_a_large_group_around_the_threshold_lists_few_links(spark, monkeypatch):
+    """1200 copies, each with its own edits: many pairs on either side of the threshold, several components, and few listed links."""
+    rng = random.Random(5)
+    base, far = words(rng, 120), words(rng, 120)
+    rows = [(i, edited(rng, base if i % 4 else far, rng.randrange(3, 8))) for i in range(1200)]
+    listed = []
+    real = nd.components
+    monkeypatch.setattr(nd, "components", lambda edges: listed.append(edges.count()) or real(edges))
+    grow = nd.contract
+    monkeypatch.setattr(nd, "contract", lambda labels, edges: listed.append(edges.count()) or grow(labels, edges))
+    assert near(spark, rows, k=3, num=85, den=100) == want_near(rows, 3, 85, 100)
+    assert sum(listed) < 1200 * np.log2(1200)
+
+
+def test_repeated_rows_without_id(spark):
+    """Many rows without doc_id, of many texts, some repeated whole."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 40)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 30 + [(7, texts[1] + " more")] * 5
+    assert near(spark, rows, k=3, num=85, den=100) == want_near(rows, 3, 85, 100)
+
+
 def test_near_duplicates_edge_rows(spark):
     same = "alpha beta gamma delta epsilon zeta"
     rows = [(5, same), (3, same.upper()), (9, same), (9, same), (1, None), (2, ""), (4, " \t\n"), (7, "one two"), (8, "One\x0bTWO"), (None, same), (None, None), (None, "solo words here"), (11, "x " * 30000)]
