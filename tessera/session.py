@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops the exchange files of a query when it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[DataFrame]] = []
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tessera") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -18,6 +23,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tesser
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "tessera-scratch"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,20 +31,40 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tesser
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one and any other an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-scratch"))
+        base = spark.sparkContext.getCheckpointDir()
+    return str(base).rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table goes with `discard`, with the scope it was made in, or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -46,11 +72,18 @@ def discard(*frames: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_scratch_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
+            fs.cancelDeleteOnExit(p)
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the exchange files of steps that are done: it does so when the driver's JVM collects its garbage."""
-    df.sparkSession._jvm.System.gc()
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written; the tables it wrote on its way are deleted."""
+    _scopes.append([])
+    try:
+        frame = make()
+    finally:
+        made = _scopes.pop()
+    out = materialize(frame, name)
+    discard(*made)
+    return out
