@@ -1,7 +1,7 @@
 """Vectorised byte, word and shingle kernels over Arrow text columns.
 
-Everything here works on blocks: runs of whole documents of about a MiB, so that
-temporaries stay small whatever the Arrow batch holds. Hashes are 64-bit polynomial
+Everything here works on blocks: runs of whole documents of about 256 KiB, so that
+temporaries stay in the cache whatever the Arrow batch holds. Hashes are 64-bit polynomial
 sums over random byte values, which need one cumulative sum for all words of a block.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 

@@ -121,6 +121,14 @@ def test_repeats_edge_rows(spark):
     assert remove_repeats(frame(spark, []), 100).collect() == []
 
 
+def test_many_equal_rows_stay_whole(spark):
+    """Rows with one doc_id do not precede each other, however many; a later document of their text goes."""
+    rng = random.Random(9)
+    text = " ".join(words(rng, 60))
+    got = remove_repeats(frame(spark, [(5, text)] * 300 + [(6, text)]), 100).collect()
+    assert sorted({(r.doc_id, r.n_removed) for r in got}) == [(5, 0), (6, len(text))] and len(got) == 301
+
+
 def test_word_kernel_equals_plain_words():
     texts = ["Ab  c\x0bD", "", "é x", "  ", "A", "a" * 5000 + " b"]
     raw = "".join(texts).encode()
