@@ -77,9 +77,10 @@ def held(key: str, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def by_block(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def by_block(text: pa.Array, limit: int = tk.BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Range of documents, bytes and offsets of each block of a text column."""
     data, offsets = tk.raw_text(text)
-    for i, j in tk.blocks(offsets):
+    for i, j in tk.blocks(offsets, limit):
         lo, hi = offsets[i], offsets[j]
         yield i, j, data[lo:hi], offsets[i : j + 1] - lo
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -148,8 +149,8 @@ def test_gif_round_trip(data):
     assert all(f.delay_ms == 40 and f.rgba.shape == (24, 24, 4) and (f.rgba[..., 0] == f.indices).all() for f in frames)
 
 
-def lzw(pixels, first_width):
-    """A plain compressor with growing code widths, for the decoder's test."""
+def lzw(pixels, first_width, defer=False):
+    """A plain compressor with growing code widths, for the decoder's test; with `defer` it goes on with the full table."""
     clear, bits, n = 1 << first_width, 0, 0
     out, table, width, nxt, prev = [], {}, first_width + 1, clear + 2, ()
 
@@ -170,7 +171,7 @@ def lzw(pixels, first_width):
             if nxt == 1 << width and width < 12:
                 width += 1
             nxt += 1
-        else:
+        elif not defer:
             emit(clear)
             table, width, nxt = {(i,): i for i in range(clear)}, first_width + 1, clear + 2
         prev = (x,)
@@ -183,7 +184,25 @@ def test_lzw_with_growing_widths():
     rng = random.Random(8)
     for first, size in [(2, 50), (4, 3000), (8, 20000), (8, 90000)]:
         pixels = [rng.randrange(1 << first) if rng.random() < 0.5 else 1 for _ in range(size)]
-        assert list(gifmedia.lzw_decode(lzw(pixels, first), first, size)) == pixels
+        for defer in (False, True):
+            assert list(gifmedia.lzw_decode(lzw(pixels, first, defer), first, size)) == pixels
+        assert gifmedia.pack_codes([gifmedia.lzw_encode(bytes(pixels), first)] * 2, first)[1] == lzw(pixels, first) or size > 4000
+        assert list(gifmedia.lzw_decode(gifmedia.pack_codes([gifmedia.lzw_encode(bytes(pixels), first)], first)[0], first, size)) == pixels
+
+
+def test_pictures_in_lock_step_equal_the_plain_coder():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 40, 576, 900):
+        rows = np.concatenate([rng.integers(0, 256, (5, size)), rng.integers(97, 100, (20, size)), np.full((2, size), 7)]).astype(np.uint8)
+        streams = gifmedia.encode_pictures(rows)
+        assert streams == gifmedia.pack_codes([gifmedia.lzw_encode(r.tobytes()) for r in rows])
+        odd = [streams[0][:-3], b"", streams[1], b"\x00\x01\x02" * 9]
+        for s, x in zip(streams + odd[:3:2], gifmedia.decode_pictures(streams + odd[:3:2], size), strict=True):
+            assert (x == gifmedia.lzw_decode(s, 8, size)).all()
+        assert (np.array(gifmedia.decode_pictures(streams, size)) == rows).all()
+    assert gifmedia.decode_pictures([], 4) == [] and (gifmedia.decode_pictures([b""], 4)[0] == 0).all()
 
 
 def gif(pictures, w=4, h=4):
@@ -214,6 +233,33 @@ def test_disposal_transparency_and_interlacing(spark):
     assert sum(got[0].histogram if got[0].histogram else got[1].histogram) == 16 and any(r.doc_id == 3 and r.error for r in got)
 
 
+@pytest.mark.parametrize("width", [0, 12, 63, 64, 200, 255])
+def test_bad_code_sizes_and_huge_screens_give_an_error_row(spark, width):
+    good = gif([(0, 0, 4, 4, [0] * 16, 1, None, 0)])
+    at = good.index(b"\x2c") + 10
+    bad = good[:at] + bytes([width]) + good[at + 1 :]
+    huge = b"GIF89a" + b"\xff\xff\xff\xff" + good[10:]
+    rows = gifmedia.gif_frames(spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(huge)), (3, bytearray(good)), (4, bytearray(good[: at + 2]))], "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in rows if r.error} >= {1, 2} and [r.frame for r in rows if r.doc_id == 3] == [0]
+
+
+def test_digest_equals_plain_python(spark):
+    import hashlib
+    import zlib
+
+    rows = [(1, None), (2, ""), (3, "a" * 576), (4, "the quick brown fox " * 99), (5, "é\0ü\n" * 700), (6, "x" * 577)]
+    got = {r.doc_id: r for r in gifmedia.media_digest(gifmedia.store_texts(frame(spark, rows))).collect()}
+    for d, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        bins = [0] * 64
+        for x in payload:
+            bins[(x >> 6) * 21] += 1
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.feature == f"frames={len(payload) // 576};ms={len(payload) // 576 * 40};hist=" + ",".join(f"{i}:{n}" for i, n in enumerate(bins) if n)
+
+
 def test_stored_texts(spark):
     got = {r.doc_id: r for r in gifmedia.media_digest(gifmedia.store_texts(frame(spark, ODD[:3] + [(9, "é" * 300)]))).collect()}
     assert got[1].payload_bytes == 576 and got[1].n_bytes == 0 and got[1].media_sha256 == got[2].media_sha256 and got[9].payload_bytes == 1152
