@@ -1,12 +1,14 @@
 """Benchmark decontamination by SimHash windows, in Spark SQL expressions only.
 
-A window of an item's size can only be similar to it if the shingles they share weigh the
-threshold's part of the item. So all shingles of all texts meet the items' shingles, and
-every window, wherever it starts, goes on whose shared shingles weigh that much: each of
-them adds its weight to the windows that hold it, so running sums over the starts tell. The
-window's 64-bit SimHash is held against the item's through multi-index blocks: with one
-block more than the radius has bits, two fingerprints within the radius agree in a block.
-What is left is decided by the exact weighted similarity.
+A window of an item's size can only be similar to any item of that size if those of its
+shingles that the items of the size hold weigh the threshold's part of the lightest one. So
+the shingles of all texts meet the joint set of the items' shingles, and running sums over
+the starts tell which windows of each size get a fingerprint; no other window can pass.
+
+Which item a window resembles is found by fingerprints alone: 64-bit SimHashes of windows and
+items of one size are cut into one block more than the radius has bits, so two within the
+radius agree in a block, and blocks meet in an equi-join. A pair counts in its first common
+block. What is within the radius is decided by the exact weighted similarity.
 """
 
 from __future__ import annotations
@@ -58,27 +60,39 @@ def simhash(shingles: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), [bit(b) for b in range(BITS)])
 
 
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _cut(print_: Column, a: int, b: int) -> Column:
+    return F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1).cast("long"))
+
+
 def blocks(print_: Column, radius: int) -> Column:
-    """radius + 1 tagged blocks of a fingerprint: equal entries of two arrays are equal blocks at one place."""
-    n = radius + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    cut = lambda a, b: F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1).cast("long"))
-    return F.array(*(F.struct(F.lit(i).alias("i"), cut(a, b).alias("x")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    """radius + 1 numbered blocks (i, x) of a fingerprint."""
+    return F.array(*(F.struct(F.lit(i).alias("i"), _cut(print_, a, b).alias("x")) for i, (a, b) in enumerate(_cuts(radius))))
+
+
+def first_common(x: Column, y: Column, radius: int) -> Column:
+    """The number of the first block in which two fingerprints agree; null if they agree in none."""
+    apart = x.bitwiseXOR(y)
+    return F.coalesce(*(F.when(_cut(apart, a, b) == 0, i) for i, (a, b) in enumerate(_cuts(radius))))
 
 
 def weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, s: acc + s["v"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4, den: int = 5, radius: int = 28) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4, den: int = 5, radius: int = 20) -> DataFrame:
     """doc_id, text_hash, item_id, similarity, n_places, first_word of every text and item that meet.
 
     Both are words of ASCII letters, digits and non-ASCII characters, A-Z folded. An item meets
     a text if any window of its size has den * common weight >= num * joint weight of the
     distinct shingles of k words; items of fewer words are one shingle. Windows that start at
     neighbouring words are one place; first_word is the start of the most similar window of the
-    first place. At the threshold, fingerprints differ in about ten bits, so a radius of 28
-    loses no pair in about 1e9. Items of equal words are one item, the smallest item_id; null
+    first place. At the threshold, fingerprints differ in about ten bits with a deviation of
+    about three, so a radius of 20 loses about one in 5000 of the pairs right at it. Items of equal words are one item, the smallest item_id; null
     texts and items without words meet nothing. Repeated rows are listed once each; null ids are
     kept. A text shorter than an item is one window. Other columns are not read.
     """
@@ -89,37 +103,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
     total = items.agg(F.sum(F.col("m") - F.col("kk") + 1)).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_GRAMS))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    if not lengths:
+        return texts.where("false").select("doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_places"), F.lit(0).cast("long").alias("first_word"))
     hits = []
     for n in lengths:
-        parts = items.where(F.col("kk") == n).withColumn("least", weight(weighted_shingles(F.col("iw"), k)) * num)
-        parts = parts.select("no", "m", "least", "iw", F.posexplode(grams(F.col("iw"), n)).alias("q", "g"))
-        parts = parts.withColumn("v", shingle_weight(F.slice("iw", F.col("q") + 1, F.lit(n)))).select("no", "m", "least", "g", "v").distinct()
+        parts = items.where(F.col("kk") == n).withColumn("least", weight(weighted_shingles(F.col("iw"), k)) * num).select("m", "least", "iw", F.posexplode(grams(F.col("iw"), n)).alias("q", "g"))
+        parts = parts.withColumn("v", shingle_weight(F.slice("iw", F.col("q") + 1, F.lit(n)))).groupBy("m", "g").agg(F.max("v").alias("v"), F.min("least").alias("least"))
+        least = parts.groupBy("m").agg(F.min("least").alias("least"))
+        parts = parts.drop("least").join(least, "m")
         # The row's number keeps Spark from moving a test of tg below the split into words, which it would then repeat for every shingle.
         placed = docs.select(F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
         placed = placed.withColumns({"tg": grams(F.col("w"), n), "row": F.monotonically_increasing_id()}).where("row >= 0").select("text_hash", F.size("w").alias("n"), F.posexplode("tg").alias("p", "g"))
         for b in range(n_blocks):
-            block = F.broadcast(parts.where(F.pmod(F.col("no"), F.lit(n_blocks)) == b))
+            block = F.broadcast(parts.where(F.pmod(F.xxhash64("g"), F.lit(n_blocks)) == b))
             # The first and the last window that hold this shingle.
             first, last = F.greatest(F.col("p") + n - F.col("m"), F.lit(0)), F.greatest(F.least(F.col("p"), F.col("n") - F.col("m")), F.lit(0))
-            hits.append(placed.join(block, "g").select("text_hash", "no", "m", "least", "p", "v", first.alias("lo"), last.alias("hi")))
-    if not hits:
-        return texts.where("false").select("doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_places"), F.lit(0).cast("long").alias("first_word"))
+            hits.append(placed.join(block, "g").select("text_hash", "m", "least", "p", "v", first.alias("lo"), last.alias("hi")))
     # Repeated texts count once; texts of equal hashes can only add windows, which the exact similarity decides.
-    pair = ["text_hash", "no", "m", "least"]
-    found = reduce(DataFrame.unionAll, hits).repartition("text_hash", "no").distinct()
+    sized = ["text_hash", "m", "least"]
+    found = reduce(DataFrame.unionAll, hits).repartition("text_hash", "m").distinct()
     ends = F.array(F.struct(F.col("lo").alias("at"), F.col("v").alias("d")), F.struct((F.col("hi") + 1).alias("at"), (-F.col("v")).alias("d")))
-    steps = found.select(*pair, F.inline(ends)).groupBy(*pair, "at").agg(F.sum("d").alias("d"))
-    by_start = W.partitionBy("text_hash", "no").orderBy("at")
+    steps = found.select(*sized, F.inline(ends)).groupBy(*sized, "at").agg(F.sum("d").alias("d"))
+    by_start = W.partitionBy("text_hash", "m").orderBy("at")
     sums = steps.withColumn("both", F.sum("d").over(by_start.rowsBetween(W.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(by_start))
-    runs = materialize(sums.where((F.col("both") > 0) & (F.col("both") * den >= F.col("least"))).select("text_hash", "no", "m", F.col("at").alias("lo"), (F.col("to") - 1).alias("hi")), "runs")
+    runs = materialize(sums.where((F.col("both") > 0) & (F.col("both") * den >= F.col("least"))).select("text_hash", "m", F.col("at").alias("lo"), (F.col("to") - 1).alias("hi")), "runs")
     # Cut here, so that the arrays below are computed once for each window.
-    windows = texts.join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "no", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
-    windows = windows.select("row", "doc_id", "text_hash", "no", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("window"))
+    windows = texts.join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
+    windows = windows.select("row", "doc_id", "text_hash", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("window"))
     windows = materialize(windows.withColumn("ws", weighted_shingles(F.col("window"), k)).drop("window"), "windows")
-    known = materialize(items.select("no", "item_id", weighted_shingles(F.col("iw"), k).alias("is")), "shingles")
+    known = materialize(items.select("m", "item_id", weighted_shingles(F.col("iw"), k).alias("is")), "shingles")
     prints = lambda df, c, o: materialize(df.withColumn(o, simhash(F.col(c))), "prints")
-    pairs = prints(windows, "ws", "wf").join(prints(known, "is", "if"), "no")
-    near = pairs.where(F.arrays_overlap(blocks(F.col("wf"), radius), blocks(F.col("if"), radius)) & (F.bit_count(F.col("wf").bitwiseXOR(F.col("if"))) <= radius))
+    indexed = lambda df, o: df.select("*", F.inline(blocks(F.col(o), radius)))
+    pairs = indexed(prints(windows, "ws", "wf"), "wf").join(indexed(prints(known, "is", "if"), "if"), ["m", "i", "x"])
+    near = pairs.where((first_common(F.col("wf"), F.col("if"), radius) == F.col("i")) & (F.bit_count(F.col("wf").bitwiseXOR(F.col("if"))) <= radius))
     common = near.withColumn("both", weight(F.array_intersect("ws", "is"))).withColumn("joint", weight(F.array_union("ws", "is")))
     similar = common.where(F.col("both") * den >= F.col("joint") * num).withColumn("similarity", F.round(F.col("both") / F.col("joint"), 6))
     one = ["row", "doc_id", "text_hash", "item_id"]
