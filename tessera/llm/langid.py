@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linear import score_texts
+from tessera.llm.linear import score_texts, thinned
+from tessera.session import materialize
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 4, 6), 8
-#: Bounds of the training sample: one window of each of so many labelled texts.
-MAX_WINDOWS, EPOCHS = 6000, 6
+#: Bounds of the training sample: distinct labelled texts, and the windows of all of them (whole texts beyond are left out).
+MAX_TEXTS, MAX_WINDOWS, EPOCHS = 4000, 16_000, 4
 
 #: Symbols: 0 padding, 1 blanks and controls, 2 digits, 3 signs, 4-29 letters, 30-93 continuation bytes, 94-125 lead bytes by their low bits.
 SYMBOLS = np.full(256, 3, np.int32)
@@ -102,32 +103,34 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EP
     return ByteCnn(langs, pairs, p["b"], p["o"], p["c"])
 
 
-def _one_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, lang, text) to (hash, lang, symbols of one window of each text, by its hash)."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, lang, text) to (h, lang, no, piece): all windows of each text, as bytes."""
     for b in batches:
-        got = []
-        for h, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(2), strict=True):
+        for h, lang, x in zip(b.column(0), b.column(1), b.column(2), strict=True):
             raw = x.as_buffer()
-            n = -(-raw.size // WINDOW)
-            at = int(np.uint64(h & 0x7FFFFFFFFFFFFFFF) % np.uint64(n)) * WINDOW
-            got.append(raw.slice(at, min(WINDOW, raw.size - at)).to_pybytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["h", "lang", "piece"])
+            starts = range(0, raw.size, WINDOW)
+            pieces = [raw.slice(a, min(WINDOW, raw.size - a)).to_pybytes() for a in starts]
+            yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * len(pieces), pa.int64()), pa.array([lang.as_py()] * len(pieces)), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["h", "lang", "no", "piece"])
 
 
-def fit_langid(docs: DataFrame, keep: Column | None = None, max_windows: int = MAX_WINDOWS) -> ByteCnn:
-    """A network from up to max_windows labelled texts (non-empty, lang not null) for which `keep` holds.
+def fit_langid(docs: DataFrame, keep: Column | None = None, max_texts: int = MAX_TEXTS, max_windows: int = MAX_WINDOWS) -> ByteCnn:
+    """A network from the whole texts (non-empty, lang not null, `keep` holds) of the smallest hashes.
 
-    Without any the network knows no language and every prediction is "und".
+    Equal texts count once, in the first of their languages by name. At most max_texts are looked at; one whose windows
+    would go beyond max_windows is left out whole. Without any text every prediction is "und".
     """
     keep = F.lit(True) if keep is None else keep
     rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & keep).select(F.xxhash64("text", F.lit(3)).alias("h"), "lang", "text")
-    # Thinned as whole texts are, before windows are cut; the limit is taken of the windows.
-    share = (4 * max_windows + 1000) / max(docs.where("lang is not null").count(), 1)
-    top = 1_000_000_007
-    place = F.pmod(F.xxhash64("h"), F.lit(top))
-    near = rows.where(place < int(top * share)) if share < 1 else rows
-    cut = near.mapInArrow(_one_window, "h long, lang string, piece binary")
-    sample = cut.orderBy(place, "h", "lang", "piece").limit(max_windows).toArrow()
+    sizes = rows.groupBy("h").agg(F.min("lang").alias("lang"), F.max(F.ceil(F.octet_length("text") / WINDOW)).alias("n"))
+    held, took = 0, []
+    for r in thinned(materialize(sizes, "texts"), F.xxhash64("h"), max_texts).collect():
+        if held + r.n <= max_windows:
+            held += r.n
+            took.append((r.h, r.lang))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(took, "h long, lang string"))
+    cut = rows.join(chosen, ["h", "lang"], "left_semi").mapInArrow(_windows, "h long, lang string, no int, piece binary")
+    # Copies of a chosen text may stand thousands of times: their windows meet before they are collected.
+    sample = cut.groupBy("h", "no").agg(F.min("lang").alias("lang"), F.min("piece").alias("piece")).orderBy("h", "no").toArrow()
     langs = sorted(set(sample["lang"].to_pylist()))
     windows = np.zeros((sample.num_rows, WINDOW), np.int32)
     for i, raw in enumerate(sample["piece"].to_pylist()):
@@ -170,10 +173,11 @@ def predict_languages(docs: DataFrame, model: ByteCnn, columns: list[Column]) ->
         return np.column_stack([best, p[np.arange(len(p)), best]])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    kept = docs.select(*columns).columns
     out = score_texts(docs, [*columns, letters], rate, ["__best", "__p"])
     names = F.array(*map(F.lit, model.langs))
     return out.select(
-        *[F.col(f"`{c}`") for c in out.columns if not c.startswith("__")],
+        *[F.col(f"`{c}`") for c in kept],
         F.when(F.col("__letters"), names[F.col("__best").cast("int")]).otherwise("und").alias("lang_pred"),
         F.when(F.col("__letters"), F.least(F.col("__p"), F.lit(1.0))).otherwise(0.0).alias("score"),
     )

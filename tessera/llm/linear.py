@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.session import discard, materialize
 
 U64 = tk.U64
 BITS = 18
 DIM = 1 << BITS
+#: Rows of a training sample at the very most, where doc_ids repeat.
+MAX_SAMPLE = 20_000
 
 #: 0 blank and control, 1 letter or digit or non-ASCII, 2 other.
 _KIND = np.full(256, 2, np.uint8)
@@ -127,33 +130,43 @@ def sample_labels(labels: DataFrame, target: Column, keep: Column, limit: int) -
     return thinned(rows, F.xxhash64("doc_id", F.lit(17)), limit)
 
 
-def gather(docs: DataFrame, sample: DataFrame, features: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], per_doc: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(y, distinct features, counts) of the sampled rows, in a fixed order. A text gives at most
-    `per_doc` features, those of the smallest hashes, so what reaches the driver is bounded.
-    `sample` has a bounded number of rows and is therefore broadcast."""
+def gather(docs: DataFrame, sample: DataFrame, features: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(y, distinct features, relative counts) of the sampled rows, in a fixed random order, each with all its features.
+
+    Rows are taken in that order as long as they have `most` features in all; one that would go beyond is
+    left out whole. `sample` has a bounded number of rows and is therefore broadcast.
+    """
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: list[list] = [[], []]
+            got: list[list] = [[], [], []]
             for i, j, data, offsets in by_block(b.column(2)):
                 f, d = features(data, offsets)
                 order = np.argsort(d, kind="stable")
                 f, bounds = f[order], np.searchsorted(d[order], np.arange(j - i + 1))
                 for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                     u, c = np.unique(f[x:y], return_counts=True)
-                    if len(u) > per_doc:
-                        pick = np.sort(np.argsort(tk.mix64(u.astype(U64)))[:per_doc])
-                        u, c = u[pick], c[pick]
-                    got[0].append(u.astype(np.int32))
-                    got[1].append((c / max(y - x, 1)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got[0], pa.list_(pa.int32())), pa.array(got[1], pa.list_(pa.float32()))], names=["doc_id", "y", "f", "c"])
-
-    table = rows.mapInArrow(run, "doc_id long, y int, f array<int>, c array<float>").toArrow()
+                    got[0].append(len(u))
+                    got[1].append(u.astype(np.int32))
+                    got[2].append((c / max(y - x, 1)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got[0], pa.int64()), pa.array(got[1], pa.list_(pa.int32())), pa.array(got[2], pa.list_(pa.float32()))], names=["doc_id", "y", "n", "f", "c"])
+
+    seen = rows.mapInArrow(run, "doc_id long, y int, n long, f array<int>, c array<float>").withColumn("at", F.xxhash64("doc_id", F.lit(31)))
+    seen = materialize(seen.withColumn("what", F.xxhash64("f", "c", "y")), "features")
+    # A row of the sample may stand more than once under its doc_id: equal ones count once.
+    size = seen.groupBy("at", "what").agg(F.max("n").alias("n")).orderBy("at", "what").limit(MAX_SAMPLE).toArrow()
+    held, took = 0, []
+    for at, what, n in zip(*(size[c].to_pylist() for c in ("at", "what", "n")), strict=True):
+        if held + n <= most:
+            held += n
+            took.append((at, what))
+    chosen = docs.sparkSession.createDataFrame(took, "at long, what long")
+    table = seen.join(F.broadcast(chosen), ["at", "what"], "left_semi").select("at", "what", "y", "f", "c").toArrow()
+    discard(seen)
     lists = [[np.asarray(x.values) for x in table[name]] for name in ("f", "c")]
-    out = [(y, f.astype(np.int64), c.astype(np.float64), i) for i, y, f, c in zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), *lists, strict=True)]
-    out.sort(key=lambda r: (int(tk.mix64(np.array([r[3] & (1 << 63) - 1], U64))[0]), r[0], len(r[1])))
-    return [(y, f, c) for y, f, c, _ in out]
+    out = {(at, what): (y, f, c) for at, what, y, f, c in zip(*(table[c].to_pylist() for c in ("at", "what", "y")), *lists, strict=True)}
+    return [out[k] for k in sorted(out)]
 
 
 class Ftrl:

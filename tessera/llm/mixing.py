@@ -2,18 +2,22 @@
 
 Classifiers trained on the labelled table give each document a posterior over domains.
 Nonnegative document rates then minimise the squared distance between the expected tokens
-of each domain and its target, with a small weight on staying near 1, by lazily projected
-gradient steps: a document's rate is the projection to 0 and MOST of 1 less its posterior
-times the residuals gathered so far. So a few numbers are all the state there is, the
-totals are one distributed sum over cells of equal posteriors for each step, and the final
-rates are one expression.
+of each domain and its target, with a small weight on staying near 1, by accelerated
+projected-gradient steps: each step moves every rate against its posterior times the
+residuals of the domains and projects it to zero or more. A rate therefore follows from the
+document's posterior and the residuals of all steps: a few numbers a step are all the
+state, each step is one distributed sum over cells of equal posteriors, in which rates are
+replayed, and a lost executor costs nothing but its part of that sum.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +25,13 @@ from tessera.llm import textkit as tk
 from tessera.llm.linear import score_texts, sigmoid, word_ngrams, word_presence
 from tessera.llm.quality import fit_quality
 from tessera.llm.toxicity import fit_toxicity
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 #: Domains by the labels: toxic before quality. Default targets are shares of the expected tokens.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-#: Steps at most, the largest error of a share, and the weight of staying near 1.
-STEPS, TOLERANCE, RIDGE = 40, 1e-4, 1e-5
-#: The highest rate: no document stands more often, whatever a target asks for.
-MOST = 4.0
+#: Steps at most, the length of a projected step (root mean square over tokens, before it is scaled) at which they end, and the weight of staying near 1.
+STEPS, TOLERANCE, RIDGE = 1000, 5e-5, 3e-5
 
 
 @dataclass
@@ -59,7 +61,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, columns: list[Column] | None = None, prefix: str = "p_") -> DataFrame:
-    """Columns (all if None), the posterior of each domain rounded to three places, and `{prefix}tokens`, the words of the text.
+    """Columns (all if None), the posterior of each domain in thousandths (so that there are at most 501,501 cells), and `{prefix}tokens`, the words of the text.
 
     Null and empty texts have no tokens and the posterior of the models' intercepts.
     """
@@ -72,57 +74,104 @@ def with_posteriors(docs: DataFrame, model: DomainModel, columns: list[Column] |
     return score_texts(docs, columns, rate, [prefix + c for c in (*DOMAINS, "tokens")])
 
 
-def rate_column(posterior: list[Column], price: list[float]) -> Column:
-    """The rate at these gathered residuals, one for each domain: within 0 and MOST."""
-    return F.least(F.greatest(F.lit(1.0) - _pull(posterior, price), F.lit(0.0)), F.lit(MOST))
-
-
-def _pull(posterior: list[Column], price: list[float]) -> Column:
-    return sum((F.lit(float(x)) * p for x, p in zip(price, posterior, strict=True)), F.lit(0.0))
-
-
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, prefix: str = "p_") -> list[float]:
-    """The gathered residuals at the optimum. Targets are shares of `budget` times all tokens. No tokens: zeros.
-
-    Residuals are scaled by the inverse Gram matrix of the documents whose rate is at no bound, which
-    spares the hundreds of plain steps that a rare domain needs; a step that does not lower the
-    (convex) dual objective is halved. Targets that no rates can meet end at the least squares.
+@dataclass
+class Rates:
+    """The steps of a fit: the residuals of the domains and the momentum of each; and whether the last one met the tolerance."""
+
+    size: float
+    steps: list[tuple[np.ndarray, float]]
+    converged: bool = False
+
+    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of posteriors (n, domains): the rates, the point of the next step but for its momentum, and the last change."""
+        rate = np.ones(len(p))
+        before = rate
+        last = np.zeros(len(p))
+        for residual, momentum in self.steps:
+            at = rate + momentum * (rate - before)
+            new = np.maximum(at - self.size * (p @ residual + RIDGE * (at - 1)), 0.0)
+            before, rate, last = rate, new, new - at
+        return rate, before, last
+
+
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, prefix: str = "p_", steps: int = STEPS) -> Rates:
+    """Rates that bring the domains' expected tokens to the targets, which are shares of `budget` times all tokens.
+
+    Steps end when the projected step is shorter than TOLERANCE, at which the objective's gradient is met up to that
+    length; targets that no rates can meet end at the least squares. After `steps` steps `converged` stays false and a
+    warning says so. No tokens: rates of 1.
     """
     names = [prefix + c for c in DOMAINS]
-    cells = materialize(scored.groupBy(*names).agg(F.sum(prefix + "tokens").alias("t")), "cells")
-    p = [F.col(c) for c in names]
-    k = len(p)
+    cells = materialize(scored.groupBy(*names).agg(F.sum(prefix + "tokens").alias("t")).repartition(4), "cells")
+    k = len(DOMAINS)
     share = np.array([targets.get(c, 0.0) for c in DOMAINS])
     goal = share / share.sum() * budget
-    r = F.col("r")
-    sums = [F.sum("t"), F.sum(F.col("t") * ((r - 1) * (r - 1) / 2 + F.col("u") * r)), *(F.sum(F.col("t") * r * x) for x in p), *(F.sum(F.when((r > 0) & (r < MOST), F.col("t") * x * y)) for x in p for y in p)]
-    price, step, best = np.zeros(k), np.zeros(k), np.inf
-    for _ in range(STEPS):
-        got = [float(x or 0) for x in cells.withColumn("r", rate_column(p, list(price + step))).withColumn("u", _pull(p, list(price + step))).agg(*sums).first()]
-        if got[0] <= 0:
-            return [0.0] * k
-        at = price + step
-        value = at @ goal + RIDGE / 2 * at @ at - got[1] / got[0]
-        if value > best:
-            step = step / 2
-            continue
-        price, best = at, value
-        slope = np.array(got[2 : k + 2]) / got[0] - goal - RIDGE * price
-        if np.abs(slope).max() < TOLERANCE:
+    total = cells.agg(F.sum("t"), *(F.sum(F.col("t") * F.col(x) * F.col(y)) for x in names for y in names)).first()
+    if not total[0]:
+        return Rates(1.0, [], True)
+    gram = np.array(total[1:], float).reshape(k, k) / total[0]
+    rates = Rates(1.0 / (np.linalg.eigvalsh(gram)[-1] + RIDGE), [])
+    age, best = 1.0, np.inf
+
+    def sums(momentum: float) -> np.ndarray:
+        """Per token: expected tokens of each domain at the rates and at the next point, the ridge's sum, and the square of the last step."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                *p, t = (np.asarray(b.column(i), float) for i in range(k + 1))
+                p = np.column_stack(p)
+                r, before, last = rates.replay(p)
+                out = [*((t * r) @ p), *((t * (r + momentum * (r - before))) @ p), t @ (r - 1) ** 2, t @ last**2]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], names=columns)
+
+        columns = [f"s{i}" for i in range(2 * k + 2)]
+        # A row for each batch of cells, of which there are a bounded number.
+        part = cells.mapInArrow(run, ", ".join(f"{c} double" for c in columns)).toArrow()
+        return np.array([sum(part[c].to_pylist()) for c in columns]) / total[0]
+
+    for _ in range(steps):
+        older = (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum = (age - 1) / older if rates.steps else 0.0
+        got = sums(momentum)
+        if rates.steps and np.sqrt(got[2 * k + 1]) < TOLERANCE:
+            rates.converged = True
             break
-        step = np.linalg.solve(np.array(got[k + 2 :]).reshape(k, k) / got[0] + RIDGE * np.eye(k), slope)
-    return [float(x) for x in price]
+        value = ((got[:k] - goal) ** 2).sum() / 2 + RIDGE / 2 * got[2 * k]
+        if value > best:  # the momentum overshot: start anew from here without it
+            age, older, momentum = 1.0, (1 + np.sqrt(5)) / 2, 0.0
+            got[k : 2 * k] = got[:k]
+        best, age = value, older
+        rates.steps.append((got[k : 2 * k] - goal, momentum))
+    if not rates.converged:
+        warnings.warn(f"the mixing rates still move after {steps} steps", stacklevel=2)
+    discard(cells)
+    return rates
+
+
+def with_rates(scored: DataFrame, rates: Rates, prefix: str = "p_") -> DataFrame:
+    """The table with `{prefix}rate`, rounded to six places, of each row's posterior."""
+    names = [prefix + c for c in DOMAINS]
+    fields = scored.schema.fields
+    shared = scored.sparkSession.sparkContext.broadcast(rates)
+    places = [scored.columns.index(c) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.column_stack([np.asarray(b.column(i), float) for i in places])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(shared.value.replay(p)[0], 6))], names=[*b.schema.names, prefix + "rate"])
+
+    return scored.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{prefix}rate` double"]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, columns: list[Column] | None = None, prefix: str = "p_") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, columns: list[Column] | None = None, prefix: str = "p_", learn: DataFrame | None = None) -> DataFrame:
     """Columns (all if None), posteriors, tokens, `{prefix}rate`, and `{prefix}copies`: the whole part of the
     rate, and one more with the chance of the rest, drawn by the hash of doc_id and text. Rows with
-    equal posteriors have equal rates; repeated rows are each drawn alike. Empty table: no rows."""
-    model = fit_domains(docs, labels)
+    equal posteriors have equal rates; repeated rows are each drawn alike. Empty table: no rows.
+    The classifiers are learnt from the texts of `learn`, by default of the table itself."""
+    model = fit_domains(docs if learn is None else learn, labels)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1_000_000)).alias("__draw")
     columns = [F.col(f"`{c}`") for c in docs.columns] if columns is None else columns
     scored = materialize(with_posteriors(docs, model, [*columns, draw], prefix), "posteriors")
-    r = rate_column([F.col(prefix + c) for c in DOMAINS], fit_rates(scored, targets or TARGETS, budget, prefix))
-    out = scored.withColumn(prefix + "rate", F.round(r, 6))
-    whole = F.floor(prefix + "rate")
-    return out.withColumn(prefix + "copies", (whole + (F.col("__draw") < (F.col(prefix + "rate") - whole) * 1_000_000).cast("int")).cast("int")).drop("__draw")
+    out = with_rates(scored, fit_rates(scored, targets or TARGETS, budget, prefix), prefix)
+    rate = F.col(prefix + "rate")
+    return out.withColumn(prefix + "copies", (F.floor(rate) + (F.col("__draw") < (rate - F.floor(rate)) * 1_000_000).cast("int")).cast("int")).drop("__draw")

@@ -384,8 +384,8 @@ def _labels(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of doc_id, text.
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and, if asked, text_hash (xxhash64) of every row of doc_id, text.
 
     Rows are linked if den * intersection >= num * union of their sets of k-word shingles
     (words: runs between ASCII blanks, A-Z folded; fewer than k words: the whole sequence is
@@ -405,5 +405,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     first = materialize(named.groupBy("label").agg(F.min("doc").alias("component_id")), "first")
     ids = materialize(named.join(first, "label").select("cid", F.lit(True).alias("found"), "component_id"), "ids")
     discard(classes, labels, first)
-    out = rows.select("doc_id", "n", "cid").join(ids, "cid", "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("doc_id", "th", "n", "cid").join(ids, "cid", "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
+    hashes = [F.col("th").alias("text_hash")] if text_hash else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *hashes)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import Ftrl, gather, sample_labels, score_texts, sigmoid, word_ngrams
 
-#: Bounds of the training sample: labelled rows, and features of one text. A text's relative frequencies are scaled by SCALE.
-MAX_ROWS, MAX_FEATURES, EPOCHS, SCALE = 6000, 4096, 4, 20.0
+#: Bounds of the training sample: labelled rows, and the features of all of them (whole rows beyond are left out). A text's relative frequencies are scaled by SCALE.
+MAX_ROWS, MAX_FEATURES, EPOCHS, SCALE = 6000, 6_000_000, 4, 20.0
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import DIM, Ftrl, gather, sample_labels, score_texts, sigmoid, word_presence
 
-#: Bounds of the training sample: labelled rows, and features of one text. Only words of at least MIN_TEXTS sampled
+#: Bounds of the training sample: labelled rows, and the features of all of them (whole rows beyond are left out). Only words of at least MIN_TEXTS sampled
 #: texts whose presence has a chi-square of at least MIN_CHI against toxicity are fitted; copies count once.
-MAX_ROWS, MAX_FEATURES, EPOCHS, MIN_TEXTS, MIN_CHI = 8000, 4096, 8, 4, 12.0
+MAX_ROWS, MAX_FEATURES, EPOCHS, MIN_TEXTS, MIN_CHI = 8000, 6_000_000, 8, 4, 12.0
 #: Grades: 0 clean; 1 toxic in a text of good quality; 2 toxic in one of bad quality, or of none stated.
 GRADES = 3
 

@@ -34,3 +34,22 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {r.doc_id for r in cp.near_dedup(spark, docs, DIR).collect()}
     assert kept == {d for (d, _), (n, c) in zip(rows, brute.near_components(rows, 5, 4, 5), strict=True) if not n or d == c}
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    """A dropped text does not come back when another text of its doc_id stays; of repeated rows one stays, whatever else differs."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "en", 0), (2, a, "en", 0), (2, b, "en", 0), (3, c, "en", 0), (3, c, "de", 5), (3, c, "de", 5), (None, None, "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __score int").withColumn("__id", F.lit("x")).withColumn("___text", F.lit(1))
+    got = cp.near_dedup(spark, docs, DIR)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.lang) for r in got.collect()) == [(0, "", "en"), (1, a, "en"), (2, b, "en"), (3, c, "de")]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from tessera import session
+
+    assert session.scratch_root(spark)
+    out = session.settled(lambda: session.materialize(spark.range(5), "inner").selectExpr("id + 1 as id"), "outer")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    session.discard(out)
