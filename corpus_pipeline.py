@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage calls one operator of tessera.llm on all that its predecessor kept.
 
 All stages but the last return the columns of documents, whatever they are; names of the
-operators' own columns begin with two underscores there, so they meet none of them.
+operators' own columns get a prefix there that none of them begins with.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import jump_shard
-from tessera.session import materialize
+from tessera.session import discard, materialize, settled
 from tessera.sources.tables import table
 
 
@@ -22,17 +22,35 @@ def _own(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column of the table begins with."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    return p
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents of a quality score below 0.5 go. Learnt from all labelled rows of documents (a bounded sample)."""
     weights, bias = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, weights, bias, _own(docs), "__score").where("__score >= 0.5").drop("__score")
+    score = _free(docs) + "score"
+    return score_quality(docs, weights, bias, _own(docs), score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: five-word shingles, similarity of 0.8 or more; of each group the document of the smallest
-    doc_id stays. Rows that repeat doc_id and text count once; those without doc_id stay if no other is in their group."""
-    kept = near_duplicates(docs, 5, 4, 5).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    doc_id stays. Rows that repeat doc_id and text count once, the one of the smallest other columns; rows that repeat
+    doc_id alone are told apart by their text. Those without doc_id stay if no other is in their group."""
+    p = _free(docs)
+    marked = docs.withColumn(p + "text", F.xxhash64("text")).withColumn(p + "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    found = near_duplicates(docs, 5, 4, 5, text_hash=True).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(p + "id"), F.col("text_hash").alias(p + "text")).distinct()
+    alike = [p + "id", p + "text"]
+    kept = marked.join(found, alike, "left_semi")
+    again = materialize(kept.groupBy(*alike).agg(F.count("*").alias("n")).where("n > 1").select(*alike), "again")
+    # Only rows that repeat both are grouped with all their columns.
+    once = kept.join(again, alike, "left_anti").select(*_own(docs))
+    first = F.min(F.struct(*[c for c in _own(docs)])).alias(p + "row")
+    return once.unionByName(kept.join(again, alike, "left_semi").groupBy(*alike).agg(first).select(f"{p}row.*").select(*_own(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +59,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: each document stands as often as its rate says: not at all, once or more."""
-    mixed = mix(docs, table(spark, sf_dir, "labels"), columns=_own(docs), prefix="__")
-    return mixed.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """Operator 9: each document stands as often as its rate says: not at all, once or more. The domains are
+    learnt from the whole documents table, as the stages before have taken most of the poor ones away."""
+    p = _free(docs)
+    mixed = mix(docs, table(spark, sf_dir, "labels"), columns=_own(docs), prefix=p, learn=table(spark, sf_dir, "documents"))
+    return mixed.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), F.col(p + "copies"))).alias(p + "copy")).drop(p + "copy")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
