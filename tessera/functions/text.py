@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from tessera.config import STOPWORDS
 
-#: Latin letters with marks and their plain letters, by Unicode decomposition.
-_MARKED = [(c, p) for c in map(chr, range(0xC0, 0x250)) if (p := unicodedata.normalize("NFD", c)[0]) != c and p.isascii() and p.isalpha() and c.islower()]
-ACCENTED, PLAIN = ("".join(x) for x in zip(*_MARKED, strict=True))
+#: Latin letters with one mark, their plain letters, and those marks, by Unicode decomposition; letters with several marks stay.
+_MARKED = [(c, *d) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c).replace("\u017f", "s")) == 2 and c.islower() and d[0].isascii()]
+ACCENTED, PLAIN = ("".join(x) + y for x, y in zip(list(zip(*_MARKED, strict=True))[:2], "\u017fs", strict=True))
+COMBINING = "".join(sorted({m for *_, m in _MARKED}))
 QUERY_TOKEN = r"(?U)\w+"
 INDEX_TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 LEXICAL = r"(?U)\w+_\w+|\w+(?:\.\w+){2,}"
@@ -36,8 +37,8 @@ def content_tokens(text: Column) -> Column:
 
 
 def index_tokens(text: Column) -> Column:
-    """Terms of the index side: letters and digits only, case and diacritics folded."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    """Terms of the index side: letters and digits only, case and diacritics folded. Marks that stand apart (COMBINING) belong to their letter."""
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED + COMBINING, PLAIN)
     return F.regexp_extract_all(folded, F.lit(INDEX_TOKEN), F.lit(0))
 
 
@@ -51,13 +52,18 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without the whitespace at both ends, of whatever kind."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def snippet(text: Column, size: int = 200) -> Column:
     return F.substring(squash(text), 1, size)
 
 
 def clean_heading(heading: Column) -> Column:
     """Without leading section numbers; the original if nothing else is left."""
-    rest = F.trim(F.regexp_replace(heading, r"^\d+(\.\d+)*\s+", ""))
+    rest = strip(F.regexp_replace(heading, r"^\d+(\.\d+)*\s+", ""))
     return F.when(F.length(rest) > 0, rest).otherwise(heading)
 
 
@@ -75,7 +81,7 @@ def with_path(path: Column, text: Column, include: bool = True) -> Column:
     """Section path and text as a reranker reads them."""
     if not include:
         return text
-    return F.trim(F.concat(F.array_join(F.coalesce(path, F.array().cast("array<string>")), " > "), F.lit("\n"), text))
+    return strip(F.concat(F.array_join(F.coalesce(path, F.array().cast("array<string>")), " > "), F.lit("\n"), text))
 
 
 def urldefrag(url: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import chunk_id, in_scope, slug_for_url, urldefrag
-from tessera.operators.chunking import TokenCounter, html_blocks, pack_chunks, page_facts, pieces, text_blocks
+from tessera.operators.chunking import TokenCounter, html_blocks, pack_chunks, page_facts, pdf_blocks, pieces, text_blocks
 from tessera.schema import CHUNK, MANIFEST, QUESTION, RECORD
 from tessera.session import materialize
 
@@ -89,7 +89,8 @@ def crawl(pages: DataFrame, seed: str, host_prefix: str, path_prefix: str, cap:
     visited = frontier.select("url")
     saved, n = None, 0
     while n < cap:
-        got = frontier.join(facts, "url").withColumn("place", F.row_number().over(W.orderBy("at")) + n).where(F.col("place") <= cap)
+        # The sort's limit comes first, so that the numbering sees what the cap leaves and no more.
+        got = frontier.join(facts, "url").orderBy("at").limit(cap - n).withColumn("place", F.row_number().over(W.orderBy("at")) + n)
         got = materialize(got, "crawled")  # at most `cap` rows
         level = got.count()
         if not level:
@@ -110,22 +111,49 @@ def urldefrag_py(url: str) -> str:
     return url.split("#", 1)[0]
 
 
-def collect_chunks(records: DataFrame, limit_docs: int | None = None, least: int = 400, most: int = 800, tokens: TokenCounter = pieces) -> DataFrame:
-    """Chunks of records that carry their content (product, doc_id, source_url, format, content): html and text by
-    format, any other format nothing; the limit is per product. A document that can't be read has no chunks."""
-    if limit_docs:
-        records = records.withColumn("__n", F.row_number().over(W.partitionBy("product").orderBy("doc_id"))).where(F.col("__n") <= limit_docs).drop("__n")
-    keyed = records.withColumn("__key", F.to_json(F.struct("product", "doc_id", "source_url")))
-    html = html_blocks(keyed.where("format = 'html'"), "__key", "content")
-    text = text_blocks(keyed.where("format in ('md', 'txt', 'text')"), "__key", "content")
-    packed = pack_chunks(html.unionByName(text.withColumn("block_no", F.col("block_no").cast("int"))), "__key", least, most, tokens)
-    facts = F.from_json("__key", "product string, doc_id string, source_url string")
-    out = packed.withColumn("k", facts)
+def _limited(records: DataFrame, limit_docs: int | None) -> DataFrame:
+    if not limit_docs:
+        return records
+    return records.withColumn("__n", F.row_number().over(W.partitionBy("product").orderBy("doc_id"))).where(F.col("__n") <= limit_docs).drop("__n")
+
+
+def _kinds(records: DataFrame) -> dict[str, DataFrame]:
+    keyed = records.withColumn("__key", F.to_json(F.struct("product", "doc_id", "source_url"), {"ignoreNullFields": "false"}))
+    kinds = {"html": ("html", "htm"), "text": ("md", "txt", "text"), "pdf": ("pdf",)}
+    out = {k: keyed.where(F.lower("format").isin(*names)) for k, names in kinds.items()}
+    every = [x for names in kinds.values() for x in names]
+    return out | {"other": keyed.where(~F.coalesce(F.lower("format").isin(*every), F.lit(False)))}
+
+
+_FACTS = "product string, doc_id string, source_url string"
+
+
+def collect_chunks(records: DataFrame, limit_docs: int | None = None, least: int = 400, most: int = 800, tokens: TokenCounter = pieces, spans: DataFrame | None = None) -> DataFrame:
+    """Chunks of records that carry their content (product, doc_id, source_url, format, content), by format: html, plain
+    text, and pdf by its spans (product, doc_id and what pdf_blocks reads). The limit is per product. A document that
+    can't be read has no chunks and does not stop the others; collect_errors tells why."""
+    kinds = _kinds(_limited(records, limit_docs))
+    text = text_blocks(kinds["text"], "__key", "content")
+    blocks = html_blocks(kinds["html"], "__key", "content").unionByName(text.withColumn("block_no", F.col("block_no").cast("int")))
+    if spans is not None:
+        blocks = blocks.unionByName(pdf_blocks(spans.join(kinds["pdf"].select("product", "doc_id", "__key"), ["product", "doc_id"]), "__key"))
+    out = pack_chunks(blocks, "__key", least, most, tokens).withColumn("k", F.from_json("__key", _FACTS))
     columns = [c.split()[0] for c in CHUNK.split(", ")]
     out = out.select("k.*", "chunk_index", "text", "section_path").withColumn("id", chunk_id(F.col("doc_id"), F.col("chunk_index")))
     return out.select(*columns)
 
 
+def collect_errors(records: DataFrame, limit_docs: int | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """(product, doc_id, error) of the records that collect_chunks can't read: pages that don't parse, PDFs without spans, other formats, no content."""
+    kinds = _kinds(_limited(records, limit_docs))
+    blank = lambda df: df.where(F.coalesce(F.length("content"), F.lit(0)) == 0).select("__key", F.lit("no content").alias("error"))
+    pages = page_facts(kinds["html"].withColumn("url", F.lit("")), "__key", html="content").where("error is not null").select("__key", "error")
+    pdf = kinds["pdf"] if spans is None else kinds["pdf"].join(spans.select("product", "doc_id").distinct(), ["product", "doc_id"], "left_anti")
+    other = kinds["other"].select("__key", F.concat(F.lit("unknown format "), F.coalesce("format", F.lit("null"))).alias("error"))
+    found = pages.union(blank(kinds["html"])).union(blank(kinds["text"])).union(pdf.select("__key", F.lit("no spans"))).union(other)
+    return found.select(F.from_json("__key", _FACTS).alias("k"), "error").select("k.product", "k.doc_id", "error")
+
+
 def dry_run(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("product").agg(F.count("*").alias("n"))
 

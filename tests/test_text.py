@@ -63,3 +63,32 @@ def test_category_and_mentions(spark):
 def test_python_word_rule_agrees(spark):
     text = "naïve café_1 ünï.x ß"
     assert one(spark, tx.query_tokens(F.lit(text))) == re.findall(r"\w+", text.lower())
+
+
+def test_index_terms_equal_fts5_on_every_marked_letter(spark):
+    """Each letter and mark of the Latin blocks inside a word, and a word with marks that stand apart."""
+    import sqlite3
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as tx
+
+    words = [f"q{chr(i)}z" for i in [*range(0xC0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00)]] + ["re\u0301sume\u0301"]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(x)")
+    con.execute("create virtual table v using fts5vocab(t, 'instance')")
+    con.executemany("insert into t(rowid, x) values (?, ?)", list(enumerate(words, 1)))
+    want = {}
+    for term, doc, _ in con.execute("select term, doc, offset from v order by doc, offset"):
+        want.setdefault(doc, []).append(term)
+    rows = spark.createDataFrame(list(enumerate(words, 1)), "i int, w string").select("i", tx.index_tokens(F.col("w")).alias("t")).collect()
+    assert [(words[r.i - 1], r.t) for r in rows if r.t != want.get(r.i, [])] == []
+
+
+def test_path_and_text_without_path(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as tx
+
+    got = spark.range(1).select(tx.with_path(F.array().cast("array<string>"), F.lit("abc")).alias("a"), tx.with_path(F.array(F.lit("x"), F.lit("y")), F.lit("abc\t")).alias("b")).first()
+    assert (got.a, got.b) == ("abc", "x > y\nabc")
