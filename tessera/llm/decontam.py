@@ -25,6 +25,8 @@ from tessera.session import materialize
 #: Items' shingles that are broadcast at a time; a larger benchmark goes over the texts in as many blocks as it needs.
 BLOCK_GRAMS = 1_000_000
 BITS = 64
+#: Bits of the screen of text hashes that is broadcast: 8 MB at any size of the input.
+SCREEN_BITS = 1 << 26
 
 
 def grams(w: Column, k: int) -> Column:
@@ -84,6 +86,21 @@ def weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, s: acc + s["v"])
 
 
+def screened(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts whose text_hash may be among the keys: none that is gets lost, and of the others the part of the screen's bits that are set passes.
+
+    The screen is a bitmap of a fixed size, so a join with the keys exchanges few other texts until the keys fill it.
+    """
+    place = lambda: F.pmod(F.col("text_hash"), F.lit(SCREEN_BITS))
+    spread = keys.select("text_hash").distinct().select(F.bitmap_bucket_number(place()).alias("bucket"), F.bitmap_bit_position(place()).alias("bit"))
+    # Dealt by bucket first: partial bitmaps of every task would be exchanged otherwise.
+    maps = spread.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    bit = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(bit / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    held = texts.join(F.broadcast(maps), F.bitmap_bucket_number(place()) == F.col("bucket"))
+    return held.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("bucket", "bitmap")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4, den: int = 5, radius: int = 20) -> DataFrame:
     """doc_id, text_hash, item_id, similarity, n_places, first_word of every text and item that meet.
 
@@ -128,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
     sums = steps.withColumn("both", F.sum("d").over(by_start.rowsBetween(W.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(by_start))
     runs = materialize(sums.where((F.col("both") > 0) & (F.col("both") * den >= F.col("least"))).select("text_hash", "m", F.col("at").alias("lo"), (F.col("to") - 1).alias("hi")), "runs")
     # Cut here, so that the arrays below are computed once for each window.
-    windows = texts.join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
+    windows = screened(texts, runs).join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
     windows = windows.select("row", "doc_id", "text_hash", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("window"))
     windows = materialize(windows.withColumn("ws", weighted_shingles(F.col("window"), k)).drop("window"), "windows")
     known = materialize(items.select("m", "item_id", weighted_shingles(F.col("iw"), k).alias("is")), "shingles")

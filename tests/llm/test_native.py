@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, gifmedia, licenses, sharding
 
@@ -264,3 +265,14 @@ def test_stored_texts(spark):
     got = {r.doc_id: r for r in gifmedia.media_digest(gifmedia.store_texts(frame(spark, ODD[:3] + [(9, "é" * 300)]))).collect()}
     assert got[1].payload_bytes == 576 and got[1].n_bytes == 0 and got[1].media_sha256 == got[2].media_sha256 and got[9].payload_bytes == 1152
     assert gifmedia.media_digest(gifmedia.store_texts(frame(spark, []))).count() == 0
+
+
+def test_screen_loses_no_key_and_stops_most_other_texts(spark, monkeypatch):
+    texts = spark.range(4000).select(F.xxhash64("id").alias("text_hash"), F.col("id").alias("row"))
+    keys = texts.where("row % 40 = 0").union(texts.where("row = 0")).select("text_hash")
+    got = {r.row for r in decontam.screened(texts, keys).collect()}
+    assert {i for i in range(4000) if i % 40 == 0} <= got and len(got) < 110
+    assert decontam.screened(texts, keys).columns == ["text_hash", "row"]
+    assert decontam.screened(texts, keys.where("false")).count() == 0
+    monkeypatch.setattr(decontam, "SCREEN_BITS", 64)  # full: every text passes, once each
+    assert decontam.screened(texts, texts.select("text_hash")).count() == 4000
