@@ -52,11 +52,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: Column | None
     return kept.select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def sync_index(index: DataFrame, fresh: DataFrame, changed: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Postings after an upsert: those of changed keys replaced by fresh ones."""
-    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)
-
-
 def reconcile(chunks: DataFrame, vectors: DataFrame, by: str = "product") -> DataFrame:
     """(by, n_chunks, n_vectors, status): OK where the two stores hold equally many."""
     a = chunks.groupBy(by).agg(F.count("*").alias("n_chunks"))
