@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.config import RetrievalConfig
 from tessera.functions.text import content_tokens, index_tokens, is_lexical, query_tokens
 from tessera.operators.bm25 import token_df
+from tessera.operators.keyword_index import KeywordIndex
 
 
 def _legs(bm25: DataFrame, vector: DataFrame, key: str) -> DataFrame:
@@ -43,7 +44,7 @@ def weighted(bm25: DataFrame, vector: DataFrame, k: int, alpha: DataFrame | floa
     return rows.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
-def route(queries: DataFrame, cfg: RetrievalConfig, chunks: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+def route(queries: DataFrame, cfg: RetrievalConfig, chunks: DataFrame | KeywordIndex | None = None, key: str = "chunk_id") -> DataFrame:
     """(query_id, lexical, alpha): by an identifier in the query (regex), by a rare content token (idf), or by either (any other signal)."""
     by_regex = F.coalesce(is_lexical(F.col("query")), F.lit(False))
     if cfg.hybrid_adaptive_signal == "regex" or chunks is None:

@@ -13,31 +13,34 @@ from tessera.functions.text import with_path
 from tessera.operators.bm25 import bm25_search
 from tessera.operators.catalog import get_document, list_topics
 from tessera.operators.fusion import fuse, lexical_rerank, rerank, route
+from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.vector import cosine_search
 
 Reranker = Callable[[Column, Column], Column]
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", k: int = 10, product: str | None = None, doc_ids: list[str] | None = None, cfg: RetrievalConfig | None = None, reranker: Reranker = lexical_rerank, key: str = "chunk_id", product_col: str = "product", doc_col: str = "doc_id") -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", k: int = 10, product: str | None = None, doc_ids: list[str] | None = None, cfg: RetrievalConfig | None = None, reranker: Reranker = lexical_rerank, key: str = "chunk_id", product_col: str = "product", doc_col: str = "doc_id", index: KeywordIndex | None = None) -> DataFrame:
     """(query_id, key, score, rank, mode) for queries (query_id, query, q_vec): one plan for the whole batch.
 
     chunks: key, product, doc_id, text and, if any, section_path; vectors: key, product, doc_id, embedding.
+    With a stored index (product and doc_id kept) the keyword leg reads that in place of the chunks' texts.
     """
     cfg = cfg or RetrievalConfig()
+    words = chunks if index is None else index
     scope = {"product": product, "doc_ids": doc_ids, "key": key, "product_col": product_col, "doc_col": doc_col}
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     if mode == "keyword_only":
-        out = bm25_search(chunks, queries, k, **scope)
+        out = bm25_search(words, queries, k, **scope)
     elif mode == "vector_only":
         out = cosine_search(vectors, queries, k, **scope)
     elif mode == "hybrid":
         depth = max(k, cfg.pool_depth)
-        routed = route(queries, cfg, chunks, key) if cfg.hybrid_fusion == "adaptive" else None
-        out = fuse(bm25_search(chunks, queries, depth, **scope), cosine_search(vectors, queries, depth, **scope), k, cfg, routed, key)
+        routed = route(queries, cfg, words, key) if cfg.hybrid_fusion == "adaptive" else None
+        out = fuse(bm25_search(words, queries, depth, **scope), cosine_search(vectors, queries, depth, **scope), k, cfg, routed, key)
     else:
         pool = "vector_only" if cfg.rerank_pool == "vector" else "hybrid"
-        found = retrieve(chunks, vectors, queries, pool, cfg.rerank_candidates, cfg=cfg, **scope).drop("mode")
+        found = retrieve(chunks, vectors, queries, pool, cfg.rerank_candidates, cfg=cfg, index=index, **scope).drop("mode")
         path = F.col("section_path") if "section_path" in chunks.columns else F.lit(None).cast("array<string>")
         text = with_path(path, F.col("text"), cfg.rerank_include_path)
         # Texts are read for the candidates alone.
@@ -55,9 +58,10 @@ class KnowledgeBase:
     product: str
     scopes: dict[str, list[str]] = field(default_factory=dict)
     cfg: RetrievalConfig = field(default_factory=RetrievalConfig)
+    index: KeywordIndex | None = None
 
     def search(self, queries: DataFrame, k: int = 5, mode: str = "hybrid_rerank", scope: str | None = None) -> DataFrame:
-        found = retrieve(self.chunks, self.vectors, queries, mode, k, self.product, self.scopes.get(scope or "", []), self.cfg)
+        found = retrieve(self.chunks, self.vectors, queries, mode, k, self.product, self.scopes.get(scope or "", []), self.cfg, index=self.index)
         return found.join(self.chunks, "chunk_id")
 
     def get_document(self, doc_id: str) -> DataFrame:

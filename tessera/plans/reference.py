@@ -18,8 +18,10 @@ from tessera.functions import text as tx
 from tessera.operators import bm25 as kw
 from tessera.operators import catalog, evals, fusion
 from tessera.operators.chunking import html_blocks, pack_chunks, page_facts
+from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.retrieve import retrieve
 from tessera.operators.vector import cosine_search
+from tessera.session import scratch_path
 from tessera.sources.fetch import crawl
 from tessera.sources.tables import table
 from tessera.streaming.ingest import reduce_events
@@ -42,12 +44,16 @@ def one_query(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(text).alias("query"))
 
 
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+def bm25_topk_on(corpus: DataFrame | KeywordIndex, spark: SparkSession, d: str) -> DataFrame:
     """Ten best English documents for one query, statistics over all languages."""
-    found = kw.bm25_search(docs(spark, d), one_query(spark, "the annle thendor of worthless"), 10, product="en", key="doc_id", product_col="lang")
+    found = kw.bm25_search(corpus, one_query(spark, "the annle thendor of worthless"), 10, product="en", key="doc_id", product_col="lang")
     return found.select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_topk_on(docs(spark, d), spark, d)
+
+
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     found = kw.bm25_search(docs(spark, d), one_query(spark, "the annle thendor of worthless"), 10, "en", ["src0", "src3"], "doc_id", "lang", "source")
     return found.select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -58,11 +64,27 @@ def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    found = kw.top_k(kw.bm25_scores(docs(spark, d), bench_queries(spark, d), "doc_id"), 10, "doc_id")
+def bm25_multi_query_on(corpus: DataFrame | KeywordIndex, spark: SparkSession, d: str) -> DataFrame:
+    found = kw.top_k(kw.bm25_scores(corpus, bench_queries(spark, d), "doc_id"), 10, "doc_id")
     return found.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_multi_query_on(docs(spark, d), spark, d)
+
+
+def keyword_index(spark: SparkSession, d: str) -> KeywordIndex:
+    """A stored index of the documents in the shared folder."""
+    return KeywordIndex.build(docs(spark, d), scratch_path(spark, "keyword-index"), "doc_id", ["lang", "source"])
+
+
+def bm25_after_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark searched on a stored index after every third document got three more words and every tenth was removed."""
+    index, rows = keyword_index(spark, d), docs(spark, d)
+    index.upsert(rows.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" annle license café"))), rows.where("doc_id % 10 = 7 AND doc_id % 3 <> 0"))
+    return bm25_multi_query_on(index, spark, d)
+
+
 def token_doc_freq(spark: SparkSession, d: str) -> DataFrame:
     return kw.token_df(docs(spark, d), bench_queries(spark, d), key="doc_id").select("query_id", "phrase", F.col("df").cast("long").alias("df"))
 
@@ -331,10 +353,11 @@ BENCH = "SELECT item_id query_id, coalesce(text, '') query FROM benchmark"
 ONE = "SELECT 0 query_id, '{}' query"
 
 
-def _bm25(queries: str, k: int, where: str = "true", cols: str = "doc_id, round(score, 6) score, rank") -> str:
-    return f"WITH {CORPUS}, {_phrases(queries)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE {where}) SELECT {cols} FROM r WHERE rank <= {k}"
+def _bm25(queries: str, k: int, where: str = "true", cols: str = "doc_id, round(score, 6) score, rank", corpus: str = CORPUS) -> str:
+    return f"WITH {corpus}, {_phrases(queries)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE {where}) SELECT {cols} FROM r WHERE rank <= {k}"
 
 
+UPSERTED = "FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN text || ' annle license café' ELSE text END text FROM documents WHERE doc_id % 10 <> 7 OR doc_id % 3 = 0)"
 KLEG = "bl AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc) WHERE rank <= 30)"
 VLEG = """vl AS (SELECT * FROM (SELECT b.item_id query_id, e.vec_id doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) score,
  row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) rank
@@ -374,6 +397,7 @@ SQL: dict[str, str] = {
     "bm25_scoped": _bm25(ONE.format(_T), 10, "lang = 'en' AND source IN ('src0', 'src3')"),
     "bm25_phrase": _bm25(ONE.format(PHRASE), 20),
     "bm25_multi_query": _bm25(BENCH, 10, cols="query_id, doc_id, round(score, 6) score, rank"),
+    "bm25_after_upsert": _bm25(BENCH, 10, cols="query_id, doc_id, round(score, 6) score, rank", corpus=CORPUS.replace("FROM documents", UPSERTED)),
     "token_doc_freq": f"WITH {CORPUS}, {_phrases(BENCH)} SELECT query_id, p phrase, coalesce(df, 0) df FROM ph LEFT JOIN dfs USING (p)",
     "corpus_stats": f"WITH {CORPUS} SELECT n, round(avgdl, 6) avgdl FROM stats",
     "content_tokens": f"WITH {CORPUS}, {_phrases(BENCH)} SELECT query_id, array_to_string(c, ' ') tokens FROM ct",
@@ -414,7 +438,7 @@ SQL: dict[str, str] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_q"): f
     for f in (
-        bm25_topk, bm25_scoped, bm25_phrase, bm25_multi_query, token_doc_freq, corpus_stats, content_tokens, cosine_topk, cosine_filtered, cosine_multi_query,
+        bm25_topk, bm25_scoped, bm25_phrase, bm25_multi_query, bm25_after_upsert, token_doc_freq, corpus_stats, content_tokens, cosine_topk, cosine_filtered, cosine_multi_query,
         rrf_fuse, weighted_fuse, adaptive_fuse, pool_tail, hybrid_modes, rerank_floor, lexical_router, count_by_product, distinct_topics, document_rebuild, reconcile,
         clean_heading, slug_for_url, crawl_scope, upsert_merge, first_match_rank, recall_mrr, recall_by_category, ndcg, pool_stats, latency_percentiles,
         routing_accuracy, judge_means, cost_usd, cache_hit_ratio, event_reduce, json_judge_parse, chunk_id_uuid5, html_blocks_q, html_chunks, page_facts_q, crawl_bfs, windowed_events,

@@ -46,21 +46,27 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the driver ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The table goes with `discard`, with the scope it was made in, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    fs, p = _hadoop(spark, path)
-    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if _scopes:
