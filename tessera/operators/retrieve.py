@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.config import MODES, RetrievalConfig
 from tessera.functions.text import with_path
-from tessera.operators.bm25 import bm25_search
+from tessera.operators.bm25 import bm25_scores, bm25_search, top_k
 from tessera.operators.catalog import get_document, list_topics
 from tessera.operators.fusion import fuse, lexical_rerank, rerank, route
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.vector import cosine_search
+from tessera.session import materialize
 
 Reranker = Callable[[Column, Column], Column]
 
@@ -49,6 +50,28 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: st
     return out.select("query_id", key, "score", "rank", F.lit(mode).alias("mode"))
 
 
+def retrieve_modes(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, cfg: RetrievalConfig | None = None, reranker: Reranker = lexical_rerank, key: str = "chunk_id", index: KeywordIndex | None = None) -> DataFrame:
+    """What `retrieve` gives in each of the four modes, without filters, from one pair of legs, which are written once."""
+    cfg = cfg or RetrievalConfig()
+    words = chunks if index is None else index
+    hybrid, pool = max(k, cfg.pool_depth), max(cfg.rerank_candidates, cfg.pool_depth)
+    most = max(hybrid, pool)
+    legs = [materialize(leg.select("query_id", key, "score", "rank"), "leg") for leg in (top_k(bm25_scores(words, queries, key), most, key), cosine_search(vectors, queries, most, key))]
+    routed = materialize(route(queries, cfg, words, key), "routed") if cfg.hybrid_fusion == "adaptive" else None
+    upto = lambda leg, n: leg.where(F.col("rank") <= n)
+    fused = lambda depth, n: fuse(upto(legs[0], depth), upto(legs[1], depth), n, cfg, routed, key)
+    found = upto(legs[1], cfg.rerank_candidates) if cfg.rerank_pool == "vector" else fused(pool, cfg.rerank_candidates)
+    path = F.col("section_path") if "section_path" in chunks.columns else F.lit(None).cast("array<string>")
+    texts = chunks.select(key, with_path(path, F.col("text"), cfg.rerank_include_path).alias("passage"))
+    pairs = found.join(texts, key).join(queries.select("query_id", "query"), "query_id")
+    ranked = rerank(pairs, k, cfg.retrieval_min_rerank_score, reranker(F.col("query"), F.col("passage")), key)
+    out = None
+    for mode, rows in zip(MODES, (upto(legs[0], k), upto(legs[1], k), fused(hybrid, k), ranked), strict=True):
+        rows = rows.select("query_id", key, "score", "rank", F.lit(mode).alias("mode"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @dataclass
 class KnowledgeBase:
     """One product's search, document and topic tools. scopes names lists of doc_ids (modules)."""

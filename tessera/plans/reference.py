@@ -19,9 +19,9 @@ from tessera.operators import bm25 as kw
 from tessera.operators import catalog, evals, fusion
 from tessera.operators.chunking import html_blocks, pack_chunks, page_facts
 from tessera.operators.keyword_index import KeywordIndex
-from tessera.operators.retrieve import retrieve
+from tessera.operators.retrieve import retrieve, retrieve_modes
 from tessera.operators.vector import cosine_search
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources.fetch import crawl
 from tessera.sources.tables import table
 from tessera.streaming.ingest import reduce_events
@@ -236,20 +236,20 @@ def recall_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evals.overall_and_by(rows, "mode", "category", aggs).select(F.coalesce("category", F.lit("overall")).alias("category"), "n", "mrr")
 
 
-def _qrels(spark: SparkSession, d: str) -> DataFrame:
-    pooled = _ranked(spark, d).select("query_id", "doc_id", F.coalesce("grade", F.lit(0)).alias("grade"))
-    return pooled
+def _pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best of each mode, judged by the labels over the pool of all modes."""
+    hits = materialize(retrieve_modes(docs(spark, d), vectors(spark, d), bench_queries(spark, d), 10, key="doc_id"), "pool")
+    grades = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    qrels = evals.pool(hits, "doc_id").join(grades, "doc_id", "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    return evals.pooled_eval(hits, qrels, 10, key="doc_id")
 
 
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
-    hits = _ranked(spark, d).select("query_id", "doc_id", "rank").withColumn("mode", F.lit("keyword_only")).where("rank <= 5")
-    out = evals.pooled_eval(hits, _qrels(spark, d), 5, key="doc_id")
-    return out.select("query_id", r6("set_recall").alias("set_recall"), r6("ndcg").alias("ndcg"), "gold_n", "pool_n")
+    return _pooled(spark, d).select("query_id", "mode", r6("set_recall").alias("set_recall"), r6("ndcg").alias("ndcg"), "gold_n", "pool_n")
 
 
 def pool_stats(spark: SparkSession, d: str) -> DataFrame:
-    hits = _ranked(spark, d).select("query_id", "doc_id", "rank").withColumn("mode", F.lit("keyword_only")).where("rank <= 5")
-    out = evals.pooled_summary(evals.pooled_eval(hits, _qrels(spark, d), 5, key="doc_id"))
+    out = evals.pooled_summary(_pooled(spark, d))
     return out.select("mode", "n", *(r6(c).alias(c) for c in ("set_recall", "ndcg", "pool", "gold")))
 
 
@@ -358,6 +358,7 @@ def _bm25(queries: str, k: int, where: str = "true", cols: str = "doc_id, round(
 
 
 UPSERTED = "FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN text || ' annle license café' ELSE text END text FROM documents WHERE doc_id % 10 <> 7 OR doc_id % 3 = 0)"
+LEXICAL_SQL = "[\\p{L}\\p{N}\\p{M}_]+_[\\p{L}\\p{N}\\p{M}_]+|[\\p{L}\\p{N}\\p{M}_]+(?:\\.[\\p{L}\\p{N}\\p{M}_]+){2,}"
 KLEG = "bl AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc) WHERE rank <= 30)"
 VLEG = """vl AS (SELECT * FROM (SELECT b.item_id query_id, e.vec_id doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) score,
  row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) rank
@@ -380,12 +381,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 RANKED = f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG}, rk AS (SELECT bl.*, 2 * quality + 1 - toxic grade FROM bl LEFT JOIN labels USING (doc_id) WHERE rank <= 10)"
 BEST = RANKED + ", best AS (SELECT query_id, min(rank) FILTER (WHERE grade >= 3) rank FROM rk GROUP BY query_id)"
+MODES = (
+    LEGS
+    + NORM
+    + f""", al AS (SELECT query_id, CASE WHEN coalesce(regexp_matches(query, '{LEXICAL_SQL}'), false) THEN 0.3 ELSE 1.0 END alpha FROM qs),
+hs AS (SELECT lg.*, alpha * vs + (1 - alpha) * bs score FROM lg JOIN al USING (query_id)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) rank FROM hs),
+qq AS (SELECT query_id, list_distinct(flatten(list_transform(c, lambda x: {TERMS.format("x")}))) terms FROM ct),
+cand AS (SELECT query_id, doc_id, rank first_rank, CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, t)) / len(terms) ELSE 0.0 END score FROM hr JOIN qq USING (query_id) JOIN tok USING (doc_id) WHERE rank <= 30),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) rank FROM cand),
+modes AS (SELECT 'keyword_only' AS mode, query_id, doc_id, score, rank FROM bl WHERE rank <= 10 UNION ALL SELECT 'vector_only', query_id, doc_id, score, rank FROM vl WHERE rank <= 10
+UNION ALL SELECT 'hybrid', query_id, doc_id, score, rank FROM hr WHERE rank <= 10 UNION ALL SELECT 'hybrid_rerank', query_id, doc_id, score, rank FROM rr WHERE rank <= 10 AND score >= 0.1)"""
+)
 POOLED = (
-    RANKED
-    + """, qr AS (SELECT query_id, doc_id, coalesce(grade, 0) grade FROM rk), qi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) r FROM qr),
-ideal AS (SELECT query_id, sum(CASE WHEN r <= 5 THEN grade / log2(r + 1.0) END) idcg, count(*) FILTER (WHERE grade >= 2) gold_n, count(*) pool_n FROM qi GROUP BY 1),
-got AS (SELECT query_id, sum(coalesce(grade, 0) / log2(rank + 1.0)) dcg, count(*) FILTER (WHERE grade >= 2) found FROM rk WHERE rank <= 5 GROUP BY 1),
-u AS (SELECT query_id, CASE WHEN gold_n > 0 THEN found / gold_n END set_recall, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END ndcg, gold_n, pool_n FROM got JOIN ideal USING (query_id))"""
+    MODES
+    + """, qr AS (SELECT query_id, doc_id, coalesce(2 * quality + 1 - toxic, 0) grade FROM (SELECT DISTINCT query_id, doc_id FROM modes) LEFT JOIN labels USING (doc_id)),
+qi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) r FROM qr),
+ideal AS (SELECT query_id, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1.0) END) idcg, count(*) FILTER (WHERE grade >= 2) gold_n, count(*) pool_n FROM qi GROUP BY 1),
+got AS (SELECT query_id, mode, sum(grade / log2(rank + 1.0)) dcg, count(*) FILTER (WHERE grade >= 2) found FROM modes JOIN qr USING (query_id, doc_id) GROUP BY ALL),
+u AS (SELECT query_id, mode, CASE WHEN gold_n > 0 THEN found / gold_n END set_recall, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END ndcg, gold_n, pool_n FROM got JOIN ideal USING (query_id))"""
 )
 USAGE = """WITH u AS (SELECT conv_id, coalesce(sum(length(text)) FILTER (WHERE role = 'user' AND turn = 0), 0)::BIGINT cw, coalesce(sum(length(text)) FILTER (WHERE role = 'user' AND turn > 0), 0)::BIGINT ti,
 coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT o, coalesce(sum(length(text)) FILTER (WHERE turn >= 2), 0)::BIGINT cr FROM conversations GROUP BY conv_id)"""
@@ -409,7 +423,8 @@ SQL: dict[str, str] = {
     "adaptive_fuse": _weighted("alpha", 10, ", al AS (SELECT query_id, CASE WHEN min(coalesce(df, 0)) <= 5 THEN 0.3 ELSE 1.0 END alpha FROM ph LEFT JOIN dfs USING (p) GROUP BY query_id)", "JOIN al USING (query_id)") + " SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10",
     "pool_tail": _weighted("1.0", 30) + " SELECT query_id, count(*) pool, count(*) FILTER (WHERE only_b) keyword_only FROM r WHERE rank <= 30 GROUP BY query_id",
     "rerank_floor": f"{LEGS}, qq AS (SELECT query_id, list_distinct(flatten(list_transform(c, lambda x: {TERMS.format('x')}))) terms FROM ct), p AS (SELECT query_id, doc_id, rank first_rank, CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, t)) / len(terms) ELSE 0.0 END score FROM bl JOIN qq USING (query_id) JOIN tok USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) rank FROM p) SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 5 AND score >= 0.5",
-    "lexical_router": "SELECT doc_id, coalesce(regexp_matches(text, '[\\p{L}\\p{N}\\p{M}_]+_[\\p{L}\\p{N}\\p{M}_]+|[\\p{L}\\p{N}\\p{M}_]+(?:\\.[\\p{L}\\p{N}\\p{M}_]+){2,}'), false) lexical FROM documents",
+    "hybrid_modes": MODES + " SELECT query_id, doc_id, round(score, 6) score, rank, mode FROM modes",
+    "lexical_router": f"SELECT doc_id, coalesce(regexp_matches(text, '{LEXICAL_SQL}'), false) lexical FROM documents",
     "count_by_product": "SELECT lang, count(*) n FROM documents GROUP BY lang",
     "distinct_topics": "SELECT DISTINCT topic FROM (SELECT CASE WHEN trim(regexp_replace('1.2 ' || p, '^\\d+(\\.\\d+)*\\s+', '')) <> '' THEN trim(regexp_replace('1.2 ' || p, '^\\d+(\\.\\d+)*\\s+', '')) ELSE '1.2 ' || p END topic FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) p FROM pages))",
     "document_rebuild": "SELECT conv_id doc_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) sha, count(*) n_chunks FROM conversations GROUP BY conv_id",
@@ -421,8 +436,8 @@ SQL: dict[str, str] = {
     "first_match_rank": f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG} SELECT query_id, min(rank) FILTER (WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'license')) rank FROM bl JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY query_id",
     "recall_mrr": BEST + " SELECT 'keyword_only' AS mode, count(*) n, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0 / rank, 0)), 6) mrr FROM best",
     "recall_by_category": BEST + " SELECT coalesce(category, 'overall') category, count(*) n, round(avg(coalesce(1.0 / rank, 0)), 6) mrr FROM (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'single' ELSE 'cross' END category FROM best) GROUP BY GROUPING SETS ((), (category))",
-    "ndcg": POOLED + " SELECT query_id, round(set_recall, 6) set_recall, round(ndcg, 6) ndcg, gold_n, pool_n FROM u",
-    "pool_stats": POOLED + " SELECT 'keyword_only' AS mode, count(set_recall) n, round(avg(set_recall), 6) set_recall, round(avg(ndcg), 6) ndcg, round(avg(pool_n), 6) pool, round(avg(gold_n), 6) gold FROM u",
+    "ndcg": POOLED + " SELECT query_id, mode, round(set_recall, 6) set_recall, round(ndcg, 6) ndcg, gold_n, pool_n FROM u",
+    "pool_stats": POOLED + " SELECT mode, count(set_recall) n, round(avg(set_recall), 6) set_recall, round(avg(ndcg), 6) ndcg, round(avg(pool_n), 6) pool, round(avg(gold_n), 6) gold FROM u GROUP BY mode",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL) SELECT event_type, any_value(n) n, min(value) FILTER (WHERE i = least(n, greatest(round_even(0.5::DOUBLE * n, 0), 1))) p50, min(value) FILTER (WHERE i = least(n, greatest(round_even(0.95::DOUBLE * n, 0), 1))) p95 FROM r GROUP BY event_type",
     "routing_accuracy": "WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) c, list_sort(list_distinct(coalesce(list(event_type) FILTER (WHERE event_id % 3 <> 0), []))) e FROM events GROUP BY user_id) SELECT count(*) n, round(avg(CASE WHEN c = e THEN 1.0 ELSE 0.0 END), 6) accuracy FROM s",
     "judge_means": "WITH m AS (SELECT event_type, count(*) n, coalesce(avg(nullif(event_id % 6, 0)), 0) a, coalesce(avg(nullif(user_id % 6, 0)), 0) b, coalesce(avg(nullif((event_id + user_id) % 6, 0)), 0) c FROM events GROUP BY 1) SELECT event_type, n, round(a, 6) correctness, round(b, 6) groundedness, round(c, 6) citation_quality, round(coalesce(list_avg(list_filter([a, b, c], lambda x: x > 0)), 0), 6) quality FROM m",
