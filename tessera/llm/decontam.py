@@ -27,6 +27,8 @@ BLOCK_GRAMS = 1_000_000
 BITS = 64
 #: Bits of the screen of text hashes that is broadcast: 8 MB at any size of the input.
 SCREEN_BITS = 1 << 26
+#: Neighbouring windows whose shingles are made together.
+STRETCH = 32
 
 
 def grams(w: Column, k: int) -> Column:
@@ -40,15 +42,36 @@ def shingle_weight(part: Column) -> Column:
     return (F.lit(1) + F.size(F.filter(part, lambda x: F.length(x) >= 4))).cast("long")
 
 
-def weighted_shingles(w: Column, k: int) -> Column:
-    """Distinct (hash, weight) of the shingles of k words, or of the whole if shorter."""
-    n = F.least(F.lit(k), F.size(w))
+def placed_shingles(w: Column, n: Column) -> Column:
+    """(hash, weight) of the n words from each place on, in order."""
 
     def one(i: Column) -> Column:
         part = F.slice(w, i + 1, n)
         return F.struct(F.xxhash64(F.array_join(part, " ")).alias("h"), shingle_weight(part).alias("v"))
 
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), one)))
+    return F.transform(F.sequence(F.lit(0), F.size(w) - n), one)
+
+
+def weighted_shingles(w: Column, k: int) -> Column:
+    """Distinct (hash, weight) of the shingles of k words, or of the whole if shorter."""
+    return F.when(F.size(w) > 0, F.array_distinct(placed_shingles(w, F.least(F.lit(k), F.size(w)))))
+
+
+def window_shingles(runs: DataFrame, k: int) -> DataFrame:
+    """Of runs lo..hi of windows of m words of w: a row for each start, with the window's weighted shingles ws in place of w, lo and hi.
+
+    Windows of a run overlap, so the shingles of STRETCH neighbours are made once, for the words they cover together.
+    """
+    kept = [c for c in runs.columns if c not in ("w", "lo", "hi")]
+    some = runs.select(*kept, "w", "hi", F.explode(F.sequence("lo", "hi", F.lit(STRETCH).cast("long"))).alias("lo"))
+    some = some.withColumn("hi", F.least("hi", F.col("lo") + STRETCH - 1))
+    some = some.select(*kept, "lo", "hi", F.slice("w", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + F.col("m")).cast("int")).alias("part"))
+    # All windows of a text are of one length, its own if it is shorter than the item.
+    length = F.least(F.col("m"), F.size("part"))
+    size = F.least(F.lit(k), length)
+    some = some.select(*kept, "lo", "hi", (length - size + 1).alias("n"), F.when(F.size("part") > 0, placed_shingles(F.col("part"), size)).alias("all"))
+    starts = some.select(*kept, "lo", "n", "all", F.explode(F.sequence("lo", "hi")).alias("start"))
+    return starts.select(*kept, "start", F.array_distinct(F.slice("all", (F.col("start") - F.col("lo") + 1).cast("int"), F.col("n"))).alias("ws"))
 
 
 def simhash(shingles: Column) -> Column:
@@ -144,10 +167,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
     by_start = W.partitionBy("text_hash", "m").orderBy("at")
     sums = steps.withColumn("both", F.sum("d").over(by_start.rowsBetween(W.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(by_start))
     runs = materialize(sums.where((F.col("both") > 0) & (F.col("both") * den >= F.col("least"))).select("text_hash", "m", F.col("at").alias("lo"), (F.col("to") - 1).alias("hi")), "runs")
-    # Cut here, so that the arrays below are computed once for each window.
-    windows = screened(texts, runs).join(runs, "text_hash").withColumn("w", words(F.col("text"))).select("row", "doc_id", "text_hash", "w", "m", F.explode(F.sequence("lo", "hi")).alias("start"))
-    windows = windows.select("row", "doc_id", "text_hash", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("window"))
-    windows = materialize(windows.withColumn("ws", weighted_shingles(F.col("window"), k)).drop("window"), "windows")
+    windows = screened(texts, runs).join(runs, "text_hash").select("row", "doc_id", "text_hash", "m", "lo", "hi", words(F.col("text")).alias("w"))
+    # Cut here, so that the arrays are computed once for each window.
+    windows = materialize(window_shingles(windows, k), "windows")
     known = materialize(items.select("m", "item_id", weighted_shingles(F.col("iw"), k).alias("is")), "shingles")
     prints = lambda df, c, o: materialize(df.withColumn(o, simhash(F.col(c))), "prints")
     indexed = lambda df, o: df.select("*", F.inline(blocks(F.col(o), radius)))

@@ -276,3 +276,19 @@ def test_screen_loses_no_key_and_stops_most_other_texts(spark, monkeypatch):
     assert decontam.screened(texts, keys.where("false")).count() == 0
     monkeypatch.setattr(decontam, "SCREEN_BITS", 64)  # full: every text passes, once each
     assert decontam.screened(texts, texts.select("text_hash")).count() == 4000
+
+
+def test_windows_of_a_run_share_their_shingles(spark):
+    """Each window has the shingles of its own words, and they are made below the rows of the starts: before, once for each window."""
+    w = [f"word{i % 7} of{i % 3}" for i in range(60)]
+    w = " ".join(w).split()
+    rows = [(1, 9, 0, 90, w), (2, 9, 40, 40, w), (3, 3, 5, 11, w), (4, 12, 0, 0, w[:8]), (5, 12, 0, 0, w[:2]), (6, 120, 0, 0, w), (7, 5, 0, 2, w[:7])]
+    runs = spark.createDataFrame(rows, "row int, m int, lo long, hi long, w array<string>")
+    got = decontam.window_shingles(runs, 5)
+    alone = runs.select("row", "m", "w", F.explode(F.sequence("lo", "hi")).alias("start"))
+    want = alone.select("row", "m", "start", decontam.weighted_shingles(F.slice("w", (F.col("start") + 1).cast("int"), F.col("m")), 5).alias("ws"))
+    assert got.columns == want.columns
+    plain = lambda df: sorted((r.row, r.m, r.start, sorted(map(tuple, r.ws))) for r in df.collect())
+    assert plain(got) == plain(want) and got.count() == 91 + 1 + 7 + 1 + 1 + 1 + 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("array_join")
