@@ -169,9 +169,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     equal posteriors have equal rates; repeated rows are each drawn alike. Empty table: no rows.
     The classifiers are learnt from the texts of `learn`, by default of the table itself."""
     model = fit_domains(docs if learn is None else learn, labels)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1_000_000)).alias("__draw")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1_000_000)).alias(prefix + "draw")
     columns = [F.col(f"`{c}`") for c in docs.columns] if columns is None else columns
     scored = materialize(with_posteriors(docs, model, [*columns, draw], prefix), "posteriors")
     out = with_rates(scored, fit_rates(scored, targets or TARGETS, budget, prefix), prefix)
     rate = F.col(prefix + "rate")
-    return out.withColumn(prefix + "copies", (F.floor(rate) + (F.col("__draw") < (rate - F.floor(rate)) * 1_000_000).cast("int")).cast("int")).drop("__draw")
+    return out.withColumn(prefix + "copies", (F.floor(rate) + (F.col(prefix + "draw") < (rate - F.floor(rate)) * 1_000_000).cast("int")).cast("int")).drop(prefix + "draw")

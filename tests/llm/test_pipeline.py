@@ -53,3 +53,11 @@ def test_scratch_tables_go(spark, tmp_path):
     out = session.settled(lambda: session.materialize(spark.range(5), "inner").selectExpr("id + 1 as id"), "outer")
     assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
     session.discard(out)
+
+
+def test_mixing_keeps_a_column_named_like_its_draw(spark):
+    """Failed before: the draw stood under a fixed name beside the table's own column."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(20).withColumn("__draw", F.lit("own"))
+    out = cp.mixing(spark, docs, DIR)
+    assert out.columns == docs.columns
+    assert {r["__draw"] for r in out.collect()} <= {"own"}
