@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import find_leaks
 from tessera.llm.gifmedia import media_digest, store_texts
+from tessera.llm.kdcluster import cluster_digest
 from tessera.llm.langid import fit_langid, predict_languages
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.linear import held
@@ -19,6 +20,7 @@ from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffixdedup import remove_repeats
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
+from tessera.llm.whitening import whiten
 from tessera.sources.tables import table
 
 
@@ -74,6 +76,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -86,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gif": op8_gif,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op11_clustering": op11_clustering,
+        "op12_whitening": op12_whitening,
     }
 
 

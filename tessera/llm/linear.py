@@ -53,7 +53,7 @@ def word_ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     s, e, d = token_spans(data, offsets)
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = tk.range_hash(tk.prefix_hash(data, True), s, e)
+    h = tk.span_hashes(data, s, e, True)
     up, high = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_UPPER, _HIGH))
     ups, highs, size = up[e] - up[s], high[e] - high[s], e - s
     kind = _KIND[data[s]]

@@ -32,4 +32,16 @@ k AS (SELECT doc_id, coalesce(lag(b) OVER d, 0) a, r.a b FROM r WINDOW d AS (PAR
 x AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) x FROM k JOIN h USING (doc_id) GROUP BY doc_id)
 SELECT h.doc_id, n n_bytes, n - length(x) // 2 AS n_removed, (SELECT count(*) FROM r WHERE r.doc_id = h.doc_id) n_spans, sha256(unhex(x)) kept_sha256 FROM h JOIN x USING (doc_id)"""
 
-SQL = {"op1_sharding": OP1, "op3_near_duplicates": OP3, "op6_repeats": OP6}
+#: Rounds are a chain of tables: nearest centroid of every vector (a), and the centroids that follow (c).
+NEAR = """d{t} AS (SELECT i, k, sum((v.x - c.x) * (v.x - c.x))::BIGINT d FROM v JOIN c{t} c USING (j) GROUP BY 1, 2),
+a{t} AS (SELECT i, k, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, k) r FROM d{t}) WHERE r = 1)"""
+MOVE = """c{u} AS (SELECT k, j, coalesce(m.x, c.x) x FROM c{t} c LEFT JOIN
+(SELECT k, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT x FROM v JOIN a{t} USING (i) GROUP BY 1, 2) m USING (k, j))"""
+OP11 = f"""WITH e AS (SELECT row_number() OVER () i, vec_id, embedding e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT i, vec_id, unnest(range(64)) j, unnest(list_transform(e, lambda x: floor(64 * x::DOUBLE)::BIGINT)) x FROM e),
+f AS (SELECT i, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 k FROM e WHERE vec_id IS NOT NULL ORDER BY 2 LIMIT 16),
+c0 AS (SELECT k, j, x FROM v JOIN f USING (i)), {", ".join(NEAR.format(t=t) + ", " + MOVE.format(t=t, u=t + 1) for t in range(3))}, {NEAR.format(t=3)},
+s AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) h FROM c3 GROUP BY 1)
+SELECT vec_id, k::INT AS "cluster", d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT cluster_inertia, (sum(d) OVER ())::BIGINT inertia, h centroid_sha256 FROM a3 JOIN e USING (i) JOIN s USING (k)"""
+
+SQL = {"op1_sharding": OP1, "op3_near_duplicates": OP3, "op6_repeats": OP6, "op11_clustering": OP11}

@@ -17,8 +17,10 @@ the first pass:
    out. Bins whose bytes are equal throughout are again removed whole but for the first.
 4. Only bins that differ are ordered to the full depth, window by window.
 
-Two strings count as equal if the hashes of their last two digits are equal: 128 bits, so n
-windows hold a false pair with a chance of about n ** 2 / 2 ** 129.
+Equality is of hashes, not of bytes: polynomials modulo a prime of 31 bits at two bases. The
+digits share bases, so the window's hash decides alone: two different windows of one piece
+agree with a chance of about 2 ** -62, and of at most ((length + 1) / 2 ** 31) ** 2 for bytes
+chosen against it. n windows of one piece hold a false pair with a chance of about n ** 2 / 2 ** 63.
 
 Groups are summed to their smallest document before the exchange and joined back, so a
 string that stands in a third of all texts is never gathered.
@@ -86,7 +88,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, n
     last[:-1] &= first[1:] | ~inside[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     a = anchor[lo]
-    prefix = tk.prefix_hash(data, False)
+    prefix = tk.prefix_hash(data)
     whole = tk.mix64(tk.range_hash(prefix, lo, hi + length) + (a - lo).astype(U64) * _SPREAD + (hi - lo).astype(U64))
     return {"doc": np.searchsorted(offsets, lo, side="right") - 1, "lo": lo, "hi": hi, "at": a, "gram": tk.range_hash(prefix, a, a + gram), "whole": whole}
 
@@ -165,7 +167,7 @@ def _bins(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 k = far[of] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 doc, a = doc[of], at[of]
                 lows, highs = np.maximum(lo[of], a - width * (k + 1) + 1), np.minimum(hi[of], a - width * k)
-                prefix = tk.prefix_hash(data, False)
+                prefix = tk.prefix_hash(data)
                 shared = tk.range_hash(prefix, a - width * k, a - width * (k + 1) + 1 + length)
                 piece = tk.mix64(tk.mix64(gram[of].view(U64) + k.astype(U64) * _SPREAD) ^ shared)
                 full = tk.mix64(tk.range_hash(prefix, lows, highs + length) + (a - lows).astype(U64) * _SPREAD + (highs - lows).astype(U64))

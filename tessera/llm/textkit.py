@@ -1,13 +1,15 @@
 """Vectorised byte, word and shingle kernels over Arrow text columns.
 
 Everything here works on blocks: runs of whole documents of about 256 KiB, so that
-temporaries stay in the cache whatever the Arrow batch holds. Hashes are 64-bit polynomial
-sums over random byte values, which need one cumulative sum for all words of a block.
+temporaries stay in the cache whatever the Arrow batch holds. Words are hashed eight bytes at
+a time by a mixing function. Byte ranges that overlap are hashed by prefix sums: polynomials
+over random byte values modulo the prime 2 ** 31 - 1, at two independent bases.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,11 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+_P = U64(PRIME)
+_BASES = (0x5E3779B9, 0x3F4A7C15)
+#: Words beyond this many bytes are hashed one by one.
+LONG_WORD = 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -46,28 +51,39 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, of values below 2 ** 63."""
+    x = (x & _P) + (x >> U64(31))
+    x = (x & _P) + (x >> U64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Powers of each base and of its inverse, made by doubling."""
     out = []
-    for b in (_BASE, _BASE_INV):
-        p = np.full(n, b, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    for base in _BASES:
+        pair = []
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(n, U64)
+            have = 1
+            while have < n:
+                more = min(have, n - have)
+                p[have : have + more] = _reduced(p[:more] * U64(pow(b, have, PRIME)))
+                have += more
+            pair.append(p)
+        out.append(tuple(pair))
+    return tuple(out)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    p, q = _powers(1 << max(20, int(n).bit_length()))
-    return p[:n], q[:n]
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(p[:n], q[:n]) for p, q in _powers(1 << max(20, int(n).bit_length()))]
 
 
 @functools.cache
-def byte_values(fold: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; with `fold`, A-Z share those of a-z."""
-    v = mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    if fold:
-        v[65:91] = v[97:123]
-    return v
+def byte_values(which: int) -> np.ndarray:
+    """A random residue for each byte."""
+    return mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(which << 32)) % _P
 
 
 def class_table(pattern_bytes: bytes) -> np.ndarray:
@@ -80,17 +96,45 @@ def class_table(pattern_bytes: bytes) -> np.ndarray:
 NOT_BLANK = ~class_table(b" \t\n\x0b\x0c\r")
 
 
-def prefix_hash(data: np.ndarray, fold: bool) -> np.ndarray:
-    """Prefix sums whose differences, scaled back, are hashes of byte ranges."""
-    p, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(byte_values(fold)[data] * p[: len(data)], out=out[1:])
+def prefix_hash(data: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums whose differences, scaled back, are hashes of byte ranges; up to 2 ** 31 bytes."""
+    out = []
+    for which, (p, _) in enumerate(powers(len(data) + 1)):
+        sums = np.zeros(len(data) + 1, U64)
+        x = byte_values(which)[data] * p[: len(data)]
+        np.cumsum((x & _P) + (x >> U64(31)), out=sums[1:])  # each below 2 ** 32
+        out.append(sums)
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, q = powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * q[start])
+def range_hash(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges. Two different ranges of L bytes agree with a chance of at most ((L + 1) / 2 ** 31) ** 2 over the choice of bases and byte values."""
+    one, two = (_reduced(_reduced(s[end] - s[start]) * q[start]) for s, (_, q) in zip(prefix, powers(len(prefix[0])), strict=True))
+    return mix64((one << U64(32)) | two)
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of byte spans (words), with A-Z as a-z if folded: each eight bytes are mixed into what the bytes before gave."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _FOLD[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix64(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+    live = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(live):
+        part = eight[start[live] + done] & _LOW_BYTES[np.minimum(size[live] - done, 8)]
+        out[live] = mix64(out[live] ^ part)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +157,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every word of a block."""
     s, e, d = word_spans(data, offsets, is_word)
-    return (range_hash(prefix_hash(data, fold), s, e) if len(s) else np.zeros(0, U64)), d
+    return span_hashes(data, s, e, fold), d
 
 
 _ROLL = [int(x) | 1 for x in mix64(np.arange(11, 75, dtype=U64))]
