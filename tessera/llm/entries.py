@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import find_leaks
 from tessera.llm.gifmedia import media_digest, store_texts
+from tessera.llm.jaccardjoin import jaccard_join
 from tessera.llm.kdcluster import cluster_digest
 from tessera.llm.langid import fit_langid, predict_languages
 from tessera.llm.licenses import scan_licenses
@@ -84,6 +85,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), 3, 9, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_clustering": op11_clustering,
         "op12_whitening": op12_whitening,
+        "op13_jaccard_join": op13_jaccard_join,
     }
 
 

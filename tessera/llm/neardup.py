@@ -142,15 +142,48 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("nid", "regs").mapInArrow(run, "nid long, key long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+class Registers:
+    """What the stages on pairs know of a class beside its size: its sketch, which also tells the bands.
+
+    Another candidate search brings its own: `listed` names columns of the classes that are read
+    only where texts are compared.
+    """
+
+    listed: tuple[str, ...] = ()
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den = num, den
+
+    def hopeless(self, a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        return hopeless(_matrix(a), _matrix(b), self.num / self.den)
+
+    def load(self, marks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        regs = _matrix(marks)
+        return regs, band_keys(regs)
+
+    def due(self, x: "_Side", i: int, y: "_Side", at: np.ndarray, key: int) -> np.ndarray:
+        """Of the other block's members `at` those that may be linked with member i, each in the bucket of their first common band."""
+        (regs, keys), (others, theirs) = x.marks, y.marks
+        same = theirs[at] == keys[i]
+        first = same.argmax(axis=1)
+        at = at[same.any(axis=1) & (keys[i][first] == key)]
+        return at[~hopeless(regs[i : i + 1], others[at], self.num / self.den)] if len(at) else at
+
+    def here(self, x: "_Side", i: int, y: "_Side", at: np.ndarray, key: int) -> np.ndarray:
+        """Of these, the ones that this bucket decides."""
+        return at
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, screen: Registers) -> DataFrame:
     """Pairs (a, b) that the set sizes and the sketches leave possible."""
+    num, den = screen.num, screen.den
     side = lambda x: classes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b", "r_a", "r_b")
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b", "r_a", "r_b", "n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = pa.array(~hopeless(_matrix(b.column(2)), _matrix(b.column(3)), num / den))
+                keep = pa.array(~screen.hopeless(b.column(2), b.column(3), b.column(4).to_numpy(), b.column(5).to_numpy()))
                 yield b.select(["a", "b"]).filter(keep)
 
     return rows.mapInArrow(run, "a long, b long")
@@ -191,12 +224,12 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, bool]:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, screen: Registers) -> tuple[DataFrame, bool]:
     """The links among proposed pairs, written; and whether they are many enough for another round of hubs."""
-    likely = materialize(_likely(pairs, classes, num, den), "pairs")
+    likely = materialize(_likely(pairs, classes, screen), "pairs")
     nids = materialize(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nids")
     texts = _texts(docs, classes, nids)
-    links = materialize(_links(likely, texts, k, num, den), "links")
+    links = materialize(_links(likely, texts, k, screen.num, screen.den), "links")
     useful = links.count() * USEFUL >= likely.count()
     discard(likely, nids, texts)
     return links, useful
@@ -218,11 +251,11 @@ def _around_hubs(opened: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b")).distinct()
 
 
-def _blocks(opened: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Members of open buckets in blocks (key, part, minor, parts, and lists of nid, label, n, regs and, if given, text)."""
-    columns = ["nid", "label", "n", "regs", *(["text"] if texts is not None else [])]
+def _blocks(opened: DataFrame, classes: DataFrame, listed: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
+    """Members of open buckets in blocks (key, part, minor, parts, and lists of nid, label, n, regs and, if given, more columns and text)."""
+    columns = ["nid", "label", "n", "regs", *listed, *(["text"] if texts is not None else [])]
     parts = opened.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    full = opened.join(parts, "key").join(classes.select("nid", "regs"), "nid")
+    full = opened.join(parts, "key").join(classes.select("nid", "regs", *listed), "nid")
     full = full if texts is None else full.join(texts, "nid")
     full = full.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("minor", F.col("label") != F.col("main"))
     return full.groupBy("key", "part", "minor").agg(F.first("parts").alias("parts"), *(F.collect_list(c).alias(c) for c in columns))
@@ -242,23 +275,21 @@ class _Side:
     nid: np.ndarray
     label: np.ndarray
     n: np.ndarray
-    regs: np.ndarray
-    keys: np.ndarray
+    marks: object
+    listed: list[pa.Array]
     text: pa.Array | None
 
     @classmethod
-    def of(cls, b: pa.RecordBatch, r: int, mark: str) -> _Side:
+    def of(cls, b: pa.RecordBatch, r: int, mark: str, screen: Registers) -> _Side:
         get = lambda c: b.column(b.schema.get_field_index(mark + c))[r].values
-        regs = _matrix(get("regs"))
-        return cls(*(np.asarray(get(c)) for c in ("nid", "label", "n")), regs, band_keys(regs), get("text") if mark + "text" in b.schema.names else None)
+        has = [c for c in screen.listed if mark + c in b.schema.names]
+        return cls(*(np.asarray(get(c)) for c in ("nid", "label", "n")), screen.load(get("regs")), [get(c) for c in has], get("text") if mark + "text" in b.schema.names else None)
 
-    def due(self, i: int, other: _Side, key: int, num: int, den: int) -> np.ndarray:
-        """The other block's members of other components that may be linked with member i, each in the bucket of their first common band."""
-        same = other.keys == self.keys[i]
-        first = same.argmax(axis=1)
-        due = same.any(axis=1) & (self.keys[i][first] == key) & (other.label != self.label[i])
-        at = np.flatnonzero(due & (np.minimum(other.n, self.n[i]) * den >= np.maximum(other.n, self.n[i]) * num))
-        return at[~hopeless(self.regs[i : i + 1], other.regs[at], num / den)] if len(at) else at
+    def due(self, i: int, other: _Side, key: int, screen: Registers) -> np.ndarray:
+        """The other block's members of other components that may be linked with member i."""
+        sized = np.minimum(other.n, self.n[i]) * screen.den >= np.maximum(other.n, self.n[i]) * screen.num
+        at = np.flatnonzero(sized & (other.label != self.label[i]))
+        return screen.due(self, i, other, at, key) if len(at) else at
 
 
 class _Forest:
@@ -279,7 +310,7 @@ class _Forest:
         return x != y
 
 
-def _asked(pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _asked(pairs: DataFrame, screen: Registers) -> DataFrame:
     """(key, nid) of the members that have any partner to be decided in that bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +318,9 @@ def _asked(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             new: set[tuple[int, int]] = set()
             for r in range(b.num_rows):
-                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_"), _Side.of(b, r, "")
+                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_", screen), _Side.of(b, r, "", screen)
                 for i in range(len(x.nid)):
-                    if len(at := x.due(i, y, key, num, den)):
+                    if len(at := x.due(i, y, key, screen)):
                         new.update((key, n) for n in (int(x.nid[i]), *y.nid[at].tolist()))
             new -= seen
             seen |= new
@@ -299,8 +330,9 @@ def _asked(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "key long, nid long").distinct()
 
 
-def _block_links(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _block_links(pairs: DataFrame, k: int, screen: Registers) -> DataFrame:
     """(a, b): links between the components of members that share a bucket, as labels; a task lists no link that its others imply."""
+    num, den = screen.num, screen.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
@@ -322,10 +354,11 @@ def _block_links(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for b in batches:
             found: list[tuple[int, int]] = []
             for r in range(b.num_rows):
-                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_"), _Side.of(b, r, "")
+                key, x, y = b.column(0)[r].as_py(), _Side.of(b, r, "a_", screen), _Side.of(b, r, "", screen)
                 for i in range(len(x.nid)):
                     mine = int(x.label[i])
-                    at = np.array([j for j in x.due(i, y, key, num, den) if forest.root(int(y.label[j])) != forest.root(mine)], np.int64)
+                    at = np.array([j for j in x.due(i, y, key, screen) if forest.root(int(y.label[j])) != forest.root(mine)], np.int64)
+                    at = screen.here(x, i, y, at, key) if len(at) else at
                     if not len(at):
                         continue
                     own, sets = full_set(x, i), [full_set(y, int(j)) for j in at]
@@ -339,39 +372,48 @@ def _block_links(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def _decided(opened: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _decided(opened: DataFrame, docs: DataFrame, classes: DataFrame, k: int, screen: Registers) -> DataFrame:
     """The links of all that is still open, as labels, written. Sketches tell first which members need their texts in which bucket."""
     blocks = materialize(_blocks(opened, classes), "blocks")
-    asked = materialize(_asked(_block_pairs(blocks), num, den), "asked")
+    asked = materialize(_asked(_block_pairs(blocks), screen), "asked")
     discard(blocks)
     nids = materialize(asked.select("nid").distinct(), "nids")
     texts = _texts(docs, classes, nids)
-    blocks = materialize(_blocks(opened.join(asked, ["key", "nid"], "left_semi"), classes, texts), "blocks")
+    blocks = materialize(_blocks(opened.join(asked, ["key", "nid"], "left_semi"), classes, screen.listed, texts), "blocks")
     discard(asked, nids, texts)
-    links = materialize(_block_links(_block_pairs(blocks), k, num, den), "links")
+    links = materialize(_block_links(_block_pairs(blocks), k, screen), "links")
     discard(blocks)
     return links
 
 
-def _labels(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, label) of every class that has a link."""
-    buckets = _bands(classes).groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, nid, n, hub, m) of the classes of each band bucket of two or more, written."""
+    buckets = _bands(classes).groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub", "m")
     shared = materialize(buckets, "buckets")
     members = materialize(_bands(classes).join(shared, "key").join(classes.select("nid", "n"), "nid"), "members")
     discard(shared)
-    pairs = members.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
-    links, useful = _confirmed(pairs, docs, classes, k, num, den)
+    return members
+
+
+def linked_labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, screen: Registers) -> DataFrame:
+    """(node, label) of every class that has a link with another that it shares a bucket of `members` with."""
+    apart = F.least("n", "hub_n") * screen.den < F.greatest("n", "hub_n") * screen.num if "hub_n" in members.columns else F.lit(False)
+    pairs = members.where((F.col("nid") != F.col("hub")) & ~apart).select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
+    links, useful = _confirmed(pairs, docs, classes, k, screen)
+    whole = members
+    # The one pair of a bucket of two is decided.
+    members = members.where("m > 2")
     labels, turn = components(links), 0
     while True:
         opened = materialize(_open(members, labels), "opened")
-        discard(members, links)
-        members, turn = opened, turn + 1
+        discard(whole, links)
+        members, whole, turn = opened, opened, turn + 1
         if not opened.limit(1).count():
             break
         if last := not useful or turn > ROUNDS:
-            links = _decided(opened, docs, classes, k, num, den)
+            links = _decided(opened, docs, classes, k, screen)
         else:
-            pairs, useful = _confirmed(_around_hubs(opened, turn), docs, classes, k, num, den)
+            pairs, useful = _confirmed(_around_hubs(opened, turn), docs, classes, k, screen)
             place = opened.select("nid", "label").distinct()
             named = pairs.join(place.select(F.col("nid").alias("a"), F.col("label").alias("la")), "a").join(place.select(F.col("nid").alias("b"), F.col("label").alias("lb")), "b")
             links = materialize(named.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
@@ -380,7 +422,7 @@ def _labels(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
             labels = contract(labels, links)
         if last:
             break
-    discard(members, links)
+    discard(whole, links)
     return labels
 
 
@@ -393,18 +435,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, tex
     it is the row's own. Null, empty and blank texts have no shingles and link with nothing.
     Repeated rows form one class and each is returned. A null doc_id takes part in links but
     names no component, unless its component has no other: then component_id is null and kept
-    true. Other columns are not read. A pair at the threshold shares no band with a chance of
+    true. Other columns are not read. Sets are of 64-bit hashes: a link is false only if shingles of its
+    two sets share one, at a chance of about |A| * |B| / 2 ** 64. A pair at the threshold shares no band with a chance of
     about 1e-10 (three words, 0.85) and is then missed, unless other links join it.
     """
     rows = materialize(_features(docs, k), "features")
+    classes = classes_of(rows, "regs")
+    out = with_components(rows, classes, linked_labels(docs, classes, _members(classes), k, Registers(num, den)))
+    hashes = [F.col("th").alias("text_hash")] if text_hash else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *hashes)
+
+
+def classes_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of equal sets (cid) as one: nid, cid, doc (its smallest doc_id), at (a row that has the text), n and the named columns, written."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    found = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min(place).alias("at"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialize(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    labels = _labels(docs, classes, k, num, den)
+    found = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min(place).alias("at"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in columns))
+    return materialize(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
+
+
+def with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, th, n, cid and component_id (the smallest doc_id of the component) of every row."""
     named = classes.join(labels, classes.nid == labels.node, "left").select("cid", "doc", F.coalesce("label", "nid").alias("label"))
     first = materialize(named.groupBy("label").agg(F.min("doc").alias("component_id")), "first")
     ids = materialize(named.join(first, "label").select("cid", F.lit(True).alias("found"), "component_id"), "ids")
     discard(classes, labels, first)
-    out = rows.select("doc_id", "th", "n", "cid").join(ids, "cid", "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
-    hashes = [F.col("th").alias("text_hash")] if text_hash else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *hashes)
+    out = rows.select("doc_id", "th", "n", "cid").join(ids, "cid", "left")
+    return out.withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))

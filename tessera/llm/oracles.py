@@ -44,4 +44,6 @@ c0 AS (SELECT k, j, x FROM v JOIN f USING (i)), {", ".join(NEAR.format(t=t) + ",
 s AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) h FROM c3 GROUP BY 1)
 SELECT vec_id, k::INT AS "cluster", d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT cluster_inertia, (sum(d) OVER ())::BIGINT inertia, h centroid_sha256 FROM a3 JOIN e USING (i) JOIN s USING (k)"""
 
-SQL = {"op1_sharding": OP1, "op3_near_duplicates": OP3, "op6_repeats": OP6, "op11_clustering": OP11}
+OP13 = OP3.replace("100 * c >= 85 *", "100 * c >= 90 *").replace("m.c component_id, d.doc_id = m.c kept", "m.c component_id")
+
+SQL = {"op1_sharding": OP1, "op3_near_duplicates": OP3, "op6_repeats": OP6, "op11_clustering": OP11, "op13_jaccard_join": OP13}
