@@ -29,13 +29,14 @@ NOTICES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 #: Words after lower-casing A-Z: runs of ASCII letters, digits and non-ASCII characters.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARK = 0x7E55E7A
 
 
 def words(text: Column) -> Column:
     """Words of a text (null: none). The Kelvin sign is replaced first: lower() alone would make an ASCII k of it."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("κ"))), F.lit(WORD), F.lit(0))
+    # A split takes a third of the time of extracting all matches.
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("κ"))), BETWEEN), "")
 
 
 def _grams(w: Column, k: int) -> Column:
