@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.licenses import words
+from tessera.llm.linear import free_prefix
 from tessera.session import materialize
 
 #: Items' shingles that are broadcast at a time; a larger benchmark goes over the texts in as many blocks as it needs.
@@ -185,6 +186,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 4,
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """The rows of documents whose text meets no item, with all their columns."""
-    bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    """The rows of documents whose text meets no item, with all their columns, whatever their names and types. Null, empty and repeated rows stay as they are judged."""
+    p = free_prefix(docs)
+    bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias(p + "id"), F.col("text_hash").alias(p + "hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(p + "id")) & (F.xxhash64("text") == F.col(p + "hash")), "left_anti")

@@ -31,6 +31,8 @@ TABLE, MAX_PIXELS = 4096, 1 << 26
 CLEAR, END = 256, 257
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3)
 DELAY = 4  # hundredths of a second
+#: What a broken stream raises.
+BROKEN = (ValueError, struct.error, IndexError, OverflowError, MemoryError)
 #: Bytes of composed frames that are handed on together, and pixels that are coded together.
 BATCH_BYTES, BATCH_PIXELS = 1 << 24, 1 << 20
 
@@ -395,7 +397,7 @@ def gif_frames(media: DataFrame, key: str = "doc_id", column: str = "media") ->
                         if held > BATCH_BYTES or len(rows) == 256:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types(b), strict=True)], names=names)
                             rows, held = [], 0
-                except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
+                except BROKEN as e:
                     rows.append((k, None, None, None, None, None, None, None, str(e)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types(b), strict=True)], names=names)
@@ -447,35 +449,45 @@ def _together(media: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[Frame]]]
     yield from part(held)
 
 
+def _digest(raw: bytes, frames: Iterator[Frame]) -> tuple:
+    parts, ms, bins = [], 0, np.zeros(64, np.int64)
+    for f in frames:
+        parts.append(f.rgba[..., 0].tobytes())
+        ms += f.delay_ms
+        bins += histogram(f.rgba)
+    payload = b"".join(parts)
+    feature = f"frames={len(parts)};ms={ms};hist=" + ",".join(f"{i}:{bins[i]}" for i in np.flatnonzero(bins))
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, None
+
+
 def media_digest(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every stored GIF.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and error of every stored GIF.
 
     Payload and feature come from the decoded frames: a grey pixel's red is the byte that was
     stored. feature: number of frames, their whole time in ms, and the count of each bin of
     the colour histogram that has any. Equal texts give equal values; null and empty texts are
-    one frame of 255.
+    one frame of 255. A null medium gives nulls, one that can't be decoded its size, its hash and an error.
     """
 
+    def alone(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * 7
+        try:
+            return _digest(raw, decode(raw))
+        except BROKEN as e:
+            return None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), None, str(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for raw, frames in _together(m.as_py() for m in b.column(2)):
-                parts, ms, bins = [], 0, np.zeros(64, np.int64)
-                for f in frames:
-                    parts.append(f.rgba[..., 0].tobytes())
-                    ms += f.delay_ms
-                    bins += histogram(f.rgba)
-                payload = b"".join(parts)
-                out[0].append(len(payload))
-                out[1].append(hashlib.sha256(payload).hexdigest())
-                out[2].append(zlib.crc32(payload[-32:]))
-                out[3].append(len(raw))
-                out[4].append(hashlib.sha256(raw).hexdigest())
-                out[5].append(f"frames={len(parts)};ms={ms};hist=" + ",".join(f"{i}:{bins[i]}" for i in np.flatnonzero(bins)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            media = b.column(2).to_pylist()
+            try:
+                rows = [_digest(raw, frames) for raw, frames in _together(iter(media))] if None not in media else [alone(m) for m in media]
+            except BROKEN:
+                rows = [alone(m) for m in media]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [b.column(0), b.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"],
             )
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linear import score_texts, thinned
+from tessera.llm.linear import free_prefix, score_texts, thinned
 from tessera.session import materialize
 
 WINDOW = 256
@@ -172,12 +172,13 @@ def predict_languages(docs: DataFrame, model: ByteCnn, columns: list[Column]) ->
         best = p.argmax(axis=1)
         return np.column_stack([best, p[np.arange(len(p)), best]])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
-    kept = docs.select(*columns).columns
-    out = score_texts(docs, [*columns, letters], rate, ["__best", "__p"])
+    own = docs.select(*columns)
+    mark, kept = free_prefix(own), own.columns
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(mark + "letters")
+    out = score_texts(docs, [*columns, letters], rate, [mark + "best", mark + "p"])
     names = F.array(*map(F.lit, model.langs))
     return out.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.when(F.col("__letters"), names[F.col("__best").cast("int")]).otherwise("und").alias("lang_pred"),
-        F.when(F.col("__letters"), F.least(F.col("__p"), F.lit(1.0))).otherwise(0.0).alias("score"),
+        F.when(F.col(mark + "letters"), names[F.col(mark + "best").cast("int")]).otherwise("und").alias("lang_pred"),
+        F.when(F.col(mark + "letters"), F.least(F.col(mark + "p"), F.lit(1.0))).otherwise(0.0).alias("score"),
     )

@@ -2,8 +2,8 @@
 
 All rolling k-word grams of every text are joined by hash with the gram positions of the
 license templates. Matches vote for the diagonal (text position minus template position);
-neighbouring diagonals are merged, so that inserted or dropped words cost little, and the
-merged spans are verified by the share of the template's grams that they cover.
+neighbouring diagonals are merged, so that inserted or dropped words cost little, and in what
+was merged the best window of the template's length decides by the share of its grams.
 """
 
 from __future__ import annotations
@@ -58,12 +58,34 @@ def _templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str
     return grams.unionByName(mark)
 
 
+def _best_window(runs: Column, wide: Column, lo: Column, hi: Column) -> Column:
+    """n, lo, hi: the most different grams that lie within `wide` words of each other, and the first and last word of the first such place.
+
+    runs: (diag, tps) of a cluster. One that is no wider counts whole; in any other a window goes over its matches.
+    """
+    grams = lambda x: F.array_distinct(F.transform(x, lambda h: h["tpos"]))
+    hits = F.array_sort(F.flatten(F.transform(runs, lambda r: F.transform(r["tps"], lambda t: F.struct((r["diag"] + t).cast("bigint").alias("pos"), t.cast("int").alias("tpos"))))))
+    none = F.array().cast("array<struct<pos:bigint,tpos:int>>")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi"), none.alias("held"))
+
+    def step(best: Column, h: Column) -> Column:
+        held = F.concat(F.filter(best["held"], lambda x: x["pos"] >= h["pos"] - wide), F.array(h))
+        more = F.size(grams(held)) > best["n"]
+        pick = lambda new, old: F.when(more, new).otherwise(best[old]).alias(old)
+        return F.struct(pick(F.size(grams(held)), "n"), pick(held[0]["pos"], "lo"), pick(h["pos"], "hi"), held.alias("held"))
+
+    searched = F.aggregate(hits, zero, step, lambda b: F.struct(b["n"].alias("n"), b["lo"].alias("lo"), b["hi"].alias("hi")))
+    whole = F.struct(F.size(grams(hits)).alias("n"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    return F.when(hi - lo <= wide, whole).otherwise(searched)
+
+
 def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, k: int = 3, gap: int = 3, coverage: float = 0.7) -> DataFrame:
     """Per row of doc_id, text: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    A base phrase must stand word by word; every place counts, also overlapping ones. A
-    template's span is reported if it covers at least `coverage` of the grams within twice
-    the template's length. score is the best coverage. spans holds (label, first, last,
+    A base phrase must stand word by word; every place counts, also overlapping ones. Of
+    each template, matches on diagonals at most `gap` apart form a cluster; the words of a cluster, no
+    more than twice the template's length apart, that cover most of its grams are reported if they
+    cover at least `coverage` of them. score is the best coverage. spans holds (label, first, last,
     coverage). Null or empty text: no words, empty labels, score 0. Equal rows give equal
     results; a null doc_id is kept; other columns are not read. Templates must have k words.
     """
@@ -96,12 +118,15 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, notices:
             F.count(F.when(exact, 1)).alias("places"),
             F.min(F.when(exact, F.col("diag"))).alias("p0"),
             F.max(F.when(exact, F.col("diag"))).alias("p1"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("tps")))).alias("covered"),
             F.min("lo").alias("lo"),
-            (F.max("hi") + (k - 1)).alias("hi"),
+            F.max("hi").alias("hi"),
+            F.collect_list(F.struct("diag", "tps")).alias("runs"),
         )
-        .withColumn("cov", F.when(F.col("tid") < 0, 0.0).otherwise(F.round(F.col("covered") / F.col("n_grams"), 6)))
-        .withColumn("ok", (F.col("tid") >= 0) & ~F.col("base") & (F.col("cov") >= coverage) & (F.col("hi") - F.col("lo") + 1 <= 2 * F.col("t_words")))
+        .withColumn("best", _best_window(F.col("runs"), 2 * F.col("t_words") - k, F.col("lo"), F.col("hi")))
+        .withColumns({"lo": F.col("best.lo"), "hi": F.col("best.hi") + (k - 1)})
+        .withColumn("cov", F.when(F.col("tid") < 0, 0.0).otherwise(F.round(F.col("best.n") / F.col("n_grams"), 6)))
+        .withColumn("ok", (F.col("tid") >= 0) & ~F.col("base") & (F.col("cov") >= coverage))
+        .drop("runs", "best")
     )
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     held = F.col("places") > 0

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import textkit as tk
 from tessera.session import discard, materialize
@@ -75,6 +76,14 @@ def word_presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return h.astype(np.int64), d
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of the table begins with."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def held(key: str, mod: int, rest: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod == rest
@@ -97,8 +106,8 @@ def score_texts(docs: DataFrame, columns: list[Column], rate: Callable[[np.ndarr
     at = frame.columns.index("text") if "text" in frame.columns else len(frame.columns)
     kept = frame.schema.fields
     if at == len(kept):
-        frame = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` double" for n in names])
+        frame = docs.select(*columns, F.col("text").alias(free_prefix(frame) + "text"))
+    schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

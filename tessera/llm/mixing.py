@@ -6,8 +6,9 @@ of each domain and its target, with a small weight on staying near 1, by acceler
 projected-gradient steps: each step moves every rate against its posterior times the
 residuals of the domains and projects it to zero or more. A rate therefore follows from the
 document's posterior and the residuals of all steps: a few numbers a step are all the
-state, each step is one distributed sum over cells of equal posteriors, in which rates are
-replayed, and a lost executor costs nothing but its part of that sum.
+state, each step is one distributed sum over cells of equal posteriors, in which the last
+steps are replayed on rates that are written down now and then, so that every step costs the
+same, and a lost executor costs nothing but its part of that sum.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import textkit as tk
 from tessera.llm.linear import score_texts, sigmoid, word_ngrams, word_presence
@@ -30,6 +32,8 @@ from tessera.session import discard, materialize
 #: Domains by the labels: toxic before quality. Default targets are shares of the expected tokens.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+#: Steps that are replayed at most before the cells' rates are written down.
+WRITTEN = 32
 #: Steps at most, the length of a projected step (root mean square over tokens, before it is scaled) at which they end, and the weight of staying near 1.
 STEPS, TOLERANCE, RIDGE = 1000, 5e-5, 3e-5
 
@@ -50,7 +54,9 @@ class DomainModel:
         good = sigmoid(mean + self.bias)
         f, d = word_presence(data, offsets)
         toxic = sigmoid(np.bincount(d, weights=self.toxicity[f].astype(np.float64), minlength=n) - self.threshold)
-        return np.round(np.column_stack([(1 - toxic) * good, (1 - toxic) * (1 - good), toxic]), 3)
+        # In whole thousandths that sum to 1: the second follows from the others.
+        toxic, good = np.rint(toxic * 1000), np.rint((1 - toxic) * good * 1000)
+        return np.column_stack([good, np.maximum(1000 - toxic - good, 0), toxic]) / 1000
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
@@ -82,12 +88,12 @@ class Rates:
     steps: list[tuple[np.ndarray, float]]
     converged: bool = False
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of posteriors (n, domains): the rates, the point of the next step but for its momentum, and the last change."""
-        rate = np.ones(len(p))
-        before = rate
+    def replay(self, p: np.ndarray, rate: np.ndarray | None = None, before: np.ndarray | None = None, done: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of posteriors (n, domains): the rates, those of the step before, and the last change; from the rates after `done` steps, if given."""
+        rate = np.ones(len(p)) if rate is None else rate
+        before = rate if before is None else before
         last = np.zeros(len(p))
-        for residual, momentum in self.steps:
+        for residual, momentum in self.steps[done:]:
             at = rate + momentum * (rate - before)
             new = np.maximum(at - self.size * (p @ residual + RIDGE * (at - 1)), 0.0)
             before, rate, last = rate, new, new - at
@@ -102,7 +108,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
     warning says so. No tokens: rates of 1.
     """
     names = [prefix + c for c in DOMAINS]
-    cells = materialize(scored.groupBy(*names).agg(F.sum(prefix + "tokens").alias("t")).repartition(4), "cells")
+    one = F.lit(1.0)
+    cells = materialize(scored.groupBy(*names).agg(F.sum(prefix + "tokens").alias("t")).repartition(4).select(*names, "t", one.alias("rate"), one.alias("before")), "cells")
+    done = 0
     k = len(DOMAINS)
     share = np.array([targets.get(c, 0.0) for c in DOMAINS])
     goal = share / share.sum() * budget
@@ -118,9 +126,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                *p, t = (np.asarray(b.column(i), float) for i in range(k + 1))
+                *p, t, r, before = (np.asarray(b.column(i), float) for i in range(k + 3))
                 p = np.column_stack(p)
-                r, before, last = rates.replay(p)
+                r, before, last = rates.replay(p, r, before, done)
                 out = [*((t * r) @ p), *((t * (r + momentum * (r - before))) @ p), t @ (r - 1) ** 2, t @ last**2]
                 yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], names=columns)
 
@@ -129,7 +137,20 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
         part = cells.mapInArrow(run, ", ".join(f"{c} double" for c in columns)).toArrow()
         return np.array([sum(part[c].to_pylist()) for c in columns]) / total[0]
 
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *p, t, r, before = (np.asarray(b.column(i), float) for i in range(k + 3))
+            r, before, _ = rates.replay(np.column_stack(p), r, before, done)
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(r), pa.array(before)], names=b.schema.names)
+
     for _ in range(steps):
+        if len(rates.steps) - done > WRITTEN:
+            # The last step stays to be replayed, as its length is asked for.
+            last = rates.steps.pop()
+            older_cells, cells = cells, materialize(cells.mapInArrow(written, cells.schema), "cells")
+            discard(older_cells)
+            done = len(rates.steps)
+            rates.steps.append(last)
         older = (1 + np.sqrt(1 + 4 * age * age)) / 2
         momentum = (age - 1) / older if rates.steps else 0.0
         got = sums(momentum)
@@ -157,10 +178,10 @@ def with_rates(scored: DataFrame, rates: Rates, prefix: str = "p_") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.column_stack([np.asarray(b.column(i), float) for i in places])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(shared.value.replay(p)[0], 6))], names=[*b.schema.names, prefix + "rate"])
+            p, of = np.unique(np.column_stack([np.asarray(b.column(i), float) for i in places]), axis=0, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(shared.value.replay(p)[0], 6)[of.ravel()])], names=[*b.schema.names, prefix + "rate"])
 
-    return scored.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{prefix}rate` double"]))
+    return scored.mapInArrow(run, StructType([*fields, StructField(prefix + "rate", DoubleType())]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, columns: list[Column] | None = None, prefix: str = "p_", learn: DataFrame | None = None) -> DataFrame:

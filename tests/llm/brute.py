@@ -98,3 +98,32 @@ def jump(key, shards):
 
 def bag(rows):
     return Counter(map(tuple, rows))
+
+
+def license_labels(text, base, notices, k=3, gap=3, coverage=0.7):
+    """Labels, first place of each notice and the best share of grams, over all windows of twice a template's length in each cluster of diagonals."""
+    w = plain_words(text)
+    labels, score, found = set(), 0.0, {}
+    for label, phrase, is_base in [(x, t, True) for x, t in base.items()] + [(x, t, False) for x, t in notices.items()]:
+        t = phrase.split()
+        grams = len(t) - k + 1
+        hits = [(p, q) for p in range(len(w) - k + 1) for q in range(grams) if w[p : p + k] == t[q : q + k]]
+        if is_base and any(w[i : i + len(t)] == t for i in range(len(w) - len(t) + 1)):
+            labels.add(label)
+        clusters, before = [], None
+        for d in sorted({p - q for p, q in hits}):
+            if before is None or d - before > gap:
+                clusters.append(set())
+            clusters[-1].add(d)
+            before = d
+        for c in clusters:
+            mine = sorted(h for h in hits if h[0] - h[1] in c)
+            best = (0, 0)
+            for p, _ in mine:
+                inside = {q for x, q in mine if p <= x <= p + 2 * len(t) - k}
+                best = max(best, (len(inside), -p))
+            score = max(score, round(best[0] / grams, 6))
+            if not is_base and best[0] / grams >= coverage:
+                labels.add(label)
+                found.setdefault(label, []).append(-best[1])
+    return ",".join(sorted(labels)), score

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -292,3 +293,34 @@ def test_windows_of_a_run_share_their_shingles(spark):
     assert plain(got) == plain(want) and got.count() == 91 + 1 + 7 + 1 + 1 + 1 + 3
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("array_join")
+
+
+def test_license_labels_equal_all_windows(spark):
+    """Labels and scores of pieces of notices with words changed, dropped, repeated and put in, and of a notice behind many of its own openings."""
+    rng = random.Random(12)
+    notices = list(licenses.NOTICES.values())
+    texts = ["licensed under the " * 12 + licenses.NOTICES["apache-2-notice"], "licensed under the " * 40, licenses.NOTICES["bsd"] + " " + licenses.NOTICES["bsd"]]
+    for _ in range(80):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            t = rng.choice(notices + list(licenses.BASE_PHRASES.values())).split()
+            a = rng.randrange(len(t))
+            part = t[a : a + rng.randrange(3, 30)] if rng.random() < 0.4 else list(t)
+            for _ in range(rng.randrange(3)):
+                x = rng.randrange(len(part))
+                part[x : x + rng.randrange(2)] = [rng.choice(["the", "and", "other"])] * rng.randrange(3)
+            w += part * rng.randrange(1, 3) + ["filler"] * rng.randrange(6)
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {i: brute.license_labels(t, licenses.BASE_PHRASES, licenses.NOTICES) for i, t in rows}
+    assert "apache-2-notice" in got[0][0]
+
+
+def test_null_and_broken_media(spark):
+    good = gifmedia.encode((np.arange(576) % 256).astype(np.uint8))
+    rows = [(1, 3, good), (2, 3, None), (3, 3, b"GIF89a"), (4, 3, b"")]
+    got = {r.doc_id: r for r in gifmedia.media_digest(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 576
+    assert got[2].media_bytes is None and got[2].error is None
+    assert all(got[i].error and got[i].payload_sha256 is None for i in (3, 4)) and got[3].media_bytes == 6

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tessera.llm.langid import fit_langid, predict_languages
 
 from . import brute
 
@@ -61,3 +62,19 @@ def test_mixing_keeps_a_column_named_like_its_draw(spark):
     out = cp.mixing(spark, docs, DIR)
     assert out.columns == docs.columns
     assert {r["__draw"] for r in out.collect()} <= {"own"}
+
+
+def test_stages_on_odd_columns_and_a_very_long_text(spark):
+    """Columns named like the stages' own, of types without an order and with odd field names, and a text of 5 MB go through all stages."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(30)
+    long = spark.createDataFrame([(5000, " ".join(f"word{i % 70001}" for i in range(500_000)), "en", "s", 5_000_000)] * 2, docs.schema)
+    docs = docs.union(long).withColumns({c: F.lit("own") for c in ("__id", "__hash", "__best", "__text", "__letters", "p_good")})
+    docs = docs.withColumn("a map", F.create_map(F.lit("k"), F.lit(1))).withColumn("odd", F.struct(F.lit(1).alias("a-b"), F.array(F.lit(2)).alias("a b")))
+    docs = docs.unionByName(docs.limit(3))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, DIR)
+        assert set(out.columns) - {"shard"} == set(docs.columns), name
+        assert {r["odd"]["a-b"] for r in out.select("odd").collect()} <= {1}, name
+    again = cp.near_dedup(spark, docs, DIR).collect()
+    assert len({(r.doc_id, r.text) for r in again}) == len(again) and sum(r.doc_id == 5000 for r in again) == 1
+    assert predict_languages(docs, fit_langid(docs, F.lit(True)), [F.col("doc_id"), F.col("__best")]).count() == docs.count()
