@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontam import without_leaks
+from tessera.llm.linear import free_prefix
 from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.quality import fit_quality, score_quality
@@ -22,52 +23,48 @@ def _own(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _free(docs: DataFrame) -> str:
-    """A prefix that no column of the table begins with."""
-    p = "__"
-    while any(c.lower().startswith(p) for c in docs.columns):
-        p += "_"
-    return p
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents of a quality score below 0.5 go. Learnt from all labelled rows of documents (a bounded sample)."""
+    """Operator 5: documents of a quality score below 0.5 go. Learnt from all labelled rows of documents (a bounded sample).
+    Null and empty texts have the score of the model's intercept, repeated rows their common score; an empty table stays empty."""
     weights, bias = fit_quality(docs, table(spark, sf_dir, "labels"))
-    score = _free(docs) + "score"
+    score = free_prefix(docs) + "score"
     return score_quality(docs, weights, bias, _own(docs), score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: five-word shingles, similarity of 0.8 or more; of each group the document of the smallest
-    doc_id stays. Rows that repeat doc_id and text count once, the one of the smallest other columns; rows that repeat
+    doc_id stays. Rows that repeat doc_id and text count once, the one of the smallest JSON; rows that repeat
     doc_id alone are told apart by their text. Those without doc_id stay if no other is in their group."""
-    p = _free(docs)
-    marked = docs.withColumn(p + "text", F.xxhash64("text")).withColumn(p + "id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    found = near_duplicates(docs, 5, 4, 5, text_hash=True).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(p + "id"), F.col("text_hash").alias(p + "text")).distinct()
-    alike = [p + "id", p + "text"]
-    kept = marked.join(found, alike, "left_semi")
-    again = materialize(kept.groupBy(*alike).agg(F.count("*").alias("n")).where("n > 1").select(*alike), "again")
-    # Only rows that repeat both are grouped with all their columns.
-    once = kept.join(again, alike, "left_anti").select(*_own(docs))
-    first = F.min(F.struct(*[c for c in _own(docs)])).alias(p + "row")
-    return once.unionByName(kept.join(again, alike, "left_semi").groupBy(*alike).agg(first).select(f"{p}row.*").select(*_own(docs)))
+    p = free_prefix(docs)
+    marked = docs.withColumns({p + "text": F.xxhash64("text"), p + "id": F.col("doc_id").cast("long")})
+    found = near_duplicates(docs, 5, 4, 5, text_hash=True).where("kept").select(F.col("doc_id").alias(p + "of"), F.col("text_hash").alias(p + "hash")).distinct()
+    same = lambda t: F.col(p + "id").eqNullSafe(t[p + "of"]) & (F.col(p + "text") == t[p + "hash"])
+    kept = marked.join(found, same(found), "left_semi")
+    again = kept.groupBy(F.col(p + "id").alias(p + "of"), F.col(p + "text").alias(p + "hash")).agg(F.count("*").alias(p + "n")).where(F.col(p + "n") > 1)
+    again = materialize(again.select(p + "of", p + "hash"), "again")
+    # Only rows that repeat both are grouped with all their columns; of those the one of the smallest JSON stays, as not all types have an order.
+    once = kept.join(again, same(again), "left_anti").select(*_own(docs))
+    row = F.struct(*_own(docs))
+    first = kept.join(again, same(again), "left_semi").groupBy(p + "id", p + "text").agg(F.min_by(row, F.to_json(row)).alias(p + "row"))
+    return once.unionByName(first.select(f"{p}row.*").select(*_own(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that hold a benchmark item go."""
+    """Operator 10: documents that hold a benchmark item go. Null and empty texts hold none; repeated rows go or stay together."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: each document stands as often as its rate says: not at all, once or more. The domains are
     learnt from the whole documents table, as the stages before have taken most of the poor ones away."""
-    p = _free(docs)
+    p = free_prefix(docs)
     mixed = mix(docs, table(spark, sf_dir, "labels"), columns=_own(docs), prefix=p, learn=table(spark, sf_dir, "documents"))
     return mixed.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), F.col(p + "copies"))).alias(p + "copy")).drop(p + "copy")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the columns of documents and a shard from 0 to 23 (in place of one of that name)."""
+    """Operator 1: the columns of documents and a shard from 0 to 23 (in place of one of that name). The shard is that of doc_id
+    (null: of 0), whatever the text; repeated rows share it."""
     return docs.withColumn("shard", jump_shard(F.col("doc_id"), 24))
 
 
