@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,8 +46,13 @@ def pool(results: DataFrame, key: str = "chunk_id") -> DataFrame:
     return results.select("query_id", key).distinct()
 
 
-def pooled_eval(results: DataFrame, qrels: DataFrame, k: int = 10, gold: int = 2, key: str = "chunk_id", mode: str = "mode") -> DataFrame:
-    """Per query and mode: set_recall (null if no grade reaches gold), ndcg (linear gain, ideal of the judged pool), gold_n and pool_n."""
+def pooled_eval(results: DataFrame, qrels: DataFrame, k: int = 10, gold: int = 2, key: str = "chunk_id", mode: str = "mode", modes: Sequence[str] | None = None) -> DataFrame:
+    """Per judged query and mode: set_recall (null if no grade reaches gold), ndcg (linear gain, ideal of the judged pool), gold_n and pool_n.
+
+    A mode without a hit for a query has 0 there, in both. modes: by default those that stand in the results at all.
+    """
+    if modes is None:
+        modes = sorted(r[0] for r in results.select(mode).distinct().collect())  # a handful
     rated = results.where(F.col("rank") <= k).join(qrels, ["query_id", key], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     gain = lambda g, r: F.sum(g / F.log2(r + 1.0))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), key))
@@ -53,7 +60,8 @@ def pooled_eval(results: DataFrame, qrels: DataFrame, k: int = 10, gold: int = 2
         gain(F.when(F.col("r") <= k, F.col("grade")), F.col("r")).alias("idcg"), F.count_if(F.col("grade") >= gold).alias("gold_n"), F.count("*").alias("pool_n")
     )
     got = rated.groupBy("query_id", mode).agg(gain(F.col("grade"), F.col("rank")).alias("dcg"), F.count_if(F.col("grade") >= gold).alias("found"))
-    both = got.join(ideal, "query_id")
+    every = ideal.withColumn(mode, F.explode(F.array(*map(F.lit, modes)).cast("array<string>")))
+    both = every.join(got, ["query_id", mode], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("found", "dcg")})
     return both.select("query_id", mode, F.when(F.col("gold_n") > 0, F.col("found") / F.col("gold_n")).alias("set_recall"), F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"), "gold_n", "pool_n")
 
 

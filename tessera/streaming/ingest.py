@@ -8,45 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.catalog import upsert
+from tessera.streaming.bucket_store import BucketStore
 
 
-class ParquetStore:
-    """A chunk table that upserts into versioned folders: a batch writes the next version and then names it current."""
+def stream_ingest(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], store: BucketStore, checkpoint: str, files_per_batch: int = 8, replace: bool = False) -> StreamingQuery:
+    """New files of `source` are transformed and upserted, all that is available and then stop.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id"):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def version(self) -> int:
-        """The newest complete version: its write left the success mark. -1 if there is none."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return -1
-        names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(path(self.path))]
-        done = [int(n[1:]) for n, p in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(p, "_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def merge(self, new: DataFrame, replace: str | None = None) -> None:
-        fs, path = self._fs()
-        v = self.version()
-        upsert(self.read(), new, self.key, replace=replace).write.mode("overwrite").parquet(f"{self.path}/v{v + 1}")
-        if v > 0:
-            fs.delete(path(f"{self.path}/v{v - 1}"), True)
-
-
-def stream_ingest(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], store: ParquetStore, checkpoint: str, files_per_batch: int = 8) -> StreamingQuery:
-    """New files of `source` are transformed and upserted, all that is available and then stop. Replayed batches change nothing, as ids are deterministic."""
+    Each batch rewrites the buckets it meets. A replayed batch is known by the checkpoint's folder and its number and
+    left out; the same files under another checkpoint change nothing either, as ids are deterministic. With `replace`
+    a changed document's old chunks go.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(source)
     return (
-        stream.writeStream.foreachBatch(lambda df, _: store.merge(transform(df))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda df, n: store.merge(transform(df), replace, checkpoint, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tessera.functions.seams import embed_with, hash_embedding, with_retry
 from tessera.operators.chunking import chunk_text
 from tessera.sources import fetch
-from tessera.streaming.ingest import ParquetStore, reduce_events, stream_ingest, windowed_counts
+from tessera.streaming.bucket_store import BucketStore
+from tessera.streaming.ingest import reduce_events, stream_ingest, windowed_counts
 
 
 def test_manifest_records_and_dataset(spark, tmp_path):
@@ -42,7 +43,7 @@ def test_collect_chunks_by_format_and_limit(spark):
 def test_incremental_ingest_is_idempotent(spark, tmp_path):
     src, schema = str(tmp_path / "src"), "doc_id string, text string"
     out = "doc_id string, chunk_index int, section_path array<string>, text string, id string"
-    store = ParquetStore(spark, "file://" + str(tmp_path / "store"), out)
+    store = BucketStore(spark, "file://" + str(tmp_path / "store"), out, group="doc_id", buckets=16)
     assert store.read().count() == 0
     spark.createDataFrame([("a", "# H\none"), ("b", "two")], schema).write.parquet(src + "/1")
     run = lambda cp: stream_ingest(spark, src, schema, chunk_text, store, str(tmp_path / cp)).awaitTermination()
