@@ -34,6 +34,7 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int):
         self.spark, self.path, self.key, self.schema, self.buckets = spark, path.rstrip("/"), key, schema, buckets
         self._seen: list[int] | None = None
+        self._tables: dict[str, DataFrame] = {}
         self._key = StructType([schema[key]])
         self._sizes = StructType([schema[key]]).add("dl", "integer")
 
@@ -80,12 +81,13 @@ class KeywordIndex:
         return self._of_whole("totals", TOTALS).agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("avgdl"))
 
     def hits(self, phrases: DataFrame) -> DataFrame:
-        """(phrase, key, kept, dl, f) as phrase_hits gives them. Buckets without a term of the phrases are not read
-        where those are few enough to broadcast; replaced rows are dropped once they are counted."""
+        """(phrase, key, kept, dl, f) as phrase_hits gives them. Buckets without a term of the phrases are not read: the
+        plan names the others. Replaced rows are dropped once they are counted."""
         parts = phrases.select("phrase", F.size("terms").alias("nt"), "terms").distinct().select("phrase", "nt", F.posexplode("terms").alias("i", "term"))
         parts = parts.where("nt > 0").withColumn("bucket", bucket(F.col("term"), self.buckets))
         unit = ["phrase", self.key, *self.keep, "dl", "seg"]
-        met = self._of_whole("postings", self.schema).join(parts, ["bucket", "term"])
+        read = [r.bucket for r in parts.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        met = self._of_whole("postings", self.schema).where(F.col("bucket").isin(read)).drop("bucket").join(parts.drop("bucket"), "term")
         # One row for each term of a phrase in a chunk: the phrase stands where the terms' places, less their own place in it, agree.
         starts = F.transform("at", lambda x: x - F.col("i"))
         met = met.groupBy(*unit, "nt").agg(F.collect_list(F.when(F.col("nt") > 1, starts).otherwise(F.col("at"))).alias("runs")).where(F.size("runs") == F.col("nt"))
@@ -94,7 +96,10 @@ class KeywordIndex:
         return self._live(met).select("phrase", self.key, *self.keep, "dl", "f")
 
     def _read(self, name: str, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(StructType(list(schema.fields)).add("seg", "integer")).parquet(f"{self.path}/{name}")
+        # Kept, so that a further search lists no files.
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.schema(StructType(list(schema.fields)).add("seg", "integer")).parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     def _of_whole(self, name: str, schema: StructType) -> DataFrame:
         return self._read(name, schema).where(F.col("seg").isin(self.segments()))
@@ -119,7 +124,7 @@ class KeywordIndex:
             self.spark.createDataFrame([(self.key, self.schema.json(), self.buckets)], "key string, schema string, buckets int").coalesce(1).write.mode("overwrite").json(f"{self.path}/meta")
         whole = self.spark.read.schema(sizes.schema).parquet(at("sizes"))
         whole.agg((F.count("*") - less[0]).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) - less[1]).alias("terms")).write.mode("overwrite").parquet(at("totals"))
-        self._seen = None
+        self._seen, self._tables = None, {}
 
 
 def _postings(chunks: DataFrame, key: str, keep: list[str], text: str, buckets: int) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.config import STOPWORDS, RetrievalConfig
+from tessera.config import MODES, STOPWORDS, RetrievalConfig
 from tessera.functions import text as tx
 from tessera.operators import bm25 as kw
 from tessera.operators import catalog, evals, fusion
@@ -21,7 +21,7 @@ from tessera.operators.chunking import html_blocks, pack_chunks, page_facts
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.retrieve import retrieve, retrieve_modes
 from tessera.operators.vector import cosine_search
-from tessera.session import materialize, scratch_path
+from tessera.session import materialize, scratch_path, scratch_root
 from tessera.sources.fetch import crawl
 from tessera.sources.tables import table
 from tessera.streaming.ingest import reduce_events
@@ -51,16 +51,21 @@ def bm25_topk_on(corpus: DataFrame | KeywordIndex, spark: SparkSession, d: str)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_topk_on(corpus(spark, d), spark, d)
+
+
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: the texts are read and split for this one query."""
     return bm25_topk_on(docs(spark, d), spark, d)
 
 
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
-    found = kw.bm25_search(docs(spark, d), one_query(spark, "the annle thendor of worthless"), 10, "en", ["src0", "src3"], "doc_id", "lang", "source")
+    found = kw.bm25_search(corpus(spark, d), one_query(spark, "the annle thendor of worthless"), 10, "en", ["src0", "src3"], "doc_id", "lang", "source")
     return found.select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    found = kw.top_k(kw.bm25_scores(docs(spark, d), one_query(spark, PHRASE), "doc_id"), 20, "doc_id")
+    found = kw.top_k(kw.bm25_scores(corpus(spark, d), one_query(spark, PHRASE), "doc_id"), 20, "doc_id")
     return found.select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -70,7 +75,7 @@ def bm25_multi_query_on(corpus: DataFrame | KeywordIndex, spark: SparkSession, d
 
 
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    return bm25_multi_query_on(docs(spark, d), spark, d)
+    return bm25_multi_query_on(corpus(spark, d), spark, d)
 
 
 def keyword_index(spark: SparkSession, d: str) -> KeywordIndex:
@@ -78,6 +83,25 @@ def keyword_index(spark: SparkSession, d: str) -> KeywordIndex:
     return KeywordIndex.build(docs(spark, d), scratch_path(spark, "keyword-index"), "doc_id", ["lang", "source"])
 
 
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
+def corpus(spark: SparkSession, d: str) -> KeywordIndex:
+    """The documents' index, built once for each session and state of the table's files: what a service keeps ready."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(jp))
+    at = (spark.sparkContext.applicationId, scratch_root(spark), d, state)
+    if at not in _indexes or not _stands(spark, _indexes[at].path):
+        _indexes[at] = keyword_index(spark, d)
+    return _indexes[at]
+
+
+def _stands(spark: SparkSession, path: str) -> bool:
+    jp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals")
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
+
+
 def bm25_after_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark searched on a stored index after every third document got three more words and every tenth was removed."""
     index, rows = keyword_index(spark, d), docs(spark, d)
@@ -86,7 +110,7 @@ def bm25_after_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return kw.token_df(docs(spark, d), bench_queries(spark, d), key="doc_id").select("query_id", "phrase", F.col("df").cast("long").alias("df"))
+    return kw.token_df(corpus(spark, d), bench_queries(spark, d), key="doc_id").select("query_id", "phrase", F.col("df").cast("long").alias("df"))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +148,7 @@ def cosine_multi_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _legs(spark: SparkSession, d: str, depth: int = 30) -> tuple[DataFrame, DataFrame]:
     q = bench_queries(spark, d)
-    return kw.top_k(kw.bm25_scores(docs(spark, d), q, "doc_id"), depth, "doc_id"), cosine_search(vectors(spark, d), q, depth, "doc_id")
+    return kw.top_k(kw.bm25_scores(corpus(spark, d), q, "doc_id"), depth, "doc_id"), cosine_search(vectors(spark, d), q, depth, "doc_id")
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +163,7 @@ def weighted_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 def adaptive_fuse(spark: SparkSession, d: str) -> DataFrame:
     b, v = _legs(spark, d)
-    routed = fusion.route(bench_queries(spark, d), RetrievalConfig(hybrid_adaptive_signal="idf"), docs(spark, d), "doc_id")
+    routed = fusion.route(bench_queries(spark, d), RetrievalConfig(hybrid_adaptive_signal="idf"), corpus(spark, d), "doc_id")
     return _hits(fusion.weighted(b, v, 10, routed.select("query_id", "alpha"), "doc_id"))
 
 
@@ -154,7 +178,7 @@ def hybrid_modes(spark: SparkSession, d: str) -> DataFrame:
     """All four modes in one table."""
     q, out = bench_queries(spark, d), None
     for mode in ("keyword_only", "vector_only", "hybrid", "hybrid_rerank"):
-        got = retrieve(docs(spark, d), vectors(spark, d), q, mode, 10, key="doc_id", product_col="lang", doc_col="source").select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "mode")
+        got = retrieve(docs(spark, d), vectors(spark, d), q, mode, 10, key="doc_id", product_col="lang", doc_col="source", index=corpus(spark, d)).select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "mode")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -212,13 +236,13 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits of the benchmark with their grades."""
-    hits = kw.top_k(kw.bm25_scores(docs(spark, d), bench_queries(spark, d), "doc_id"), 10, "doc_id")
+    hits = kw.top_k(kw.bm25_scores(corpus(spark, d), bench_queries(spark, d), "doc_id"), 10, "doc_id")
     grades = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     return hits.join(grades, "doc_id", "left")
 
 
 def first_match_rank(spark: SparkSession, d: str) -> DataFrame:
-    hits = kw.top_k(kw.bm25_scores(docs(spark, d), bench_queries(spark, d), "doc_id"), 10, "doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = kw.top_k(kw.bm25_scores(corpus(spark, d), bench_queries(spark, d), "doc_id"), 10, "doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
     found = evals.first_match(hits, F.col("text"), F.array(F.lit("Idiot"), F.lit("license")), ["query_id"])
     return found.select("query_id", F.col("rank").cast("long").alias("rank"))
 
@@ -236,12 +260,13 @@ def recall_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evals.overall_and_by(rows, "mode", "category", aggs).select(F.coalesce("category", F.lit("overall")).alias("category"), "n", "mrr")
 
 
-def _pooled(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best of each mode, judged by the labels over the pool of all modes."""
-    hits = materialize(retrieve_modes(docs(spark, d), vectors(spark, d), bench_queries(spark, d), 10, key="doc_id"), "pool")
+def _pooled(spark: SparkSession, d: str, without: Column | None = None) -> DataFrame:
+    """The ten best of each mode, but for the hits of `without`, judged by the labels over the pool of all modes."""
+    hits = retrieve_modes(docs(spark, d), vectors(spark, d), bench_queries(spark, d), 10, key="doc_id", index=corpus(spark, d))
+    hits = materialize(hits if without is None else hits.where(~without), "pool")
     grades = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     qrels = evals.pool(hits, "doc_id").join(grades, "doc_id", "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
-    return evals.pooled_eval(hits, qrels, 10, key="doc_id")
+    return evals.pooled_eval(hits, qrels, 10, key="doc_id", modes=MODES)
 
 
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
@@ -253,6 +278,12 @@ def pool_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("mode", "n", *(r6(c).alias(c) for c in ("set_recall", "ndcg", "pool", "gold")))
 
 
+def pool_empty_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled means where the keyword leg finds nothing for every fifth query: it counts 0 there."""
+    out = evals.pooled_summary(_pooled(spark, d, (F.col("mode") == "keyword_only") & (F.col("query_id") % 5 == 0)))
+    return out.select("mode", "n", *(r6(c).alias(c) for c in ("set_recall", "ndcg", "pool", "gold")))
+
+
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evals.percentiles(table(spark, d, "events"), "event_type", "value").select("event_type", F.col("n").cast("long").alias("n"), "p50", "p95")
 
@@ -381,7 +412,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 RANKED = f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG}, rk AS (SELECT bl.*, 2 * quality + 1 - toxic grade FROM bl LEFT JOIN labels USING (doc_id) WHERE rank <= 10)"
 BEST = RANKED + ", best AS (SELECT query_id, min(rank) FILTER (WHERE grade >= 3) rank FROM rk GROUP BY query_id)"
-MODES = (
+MODES_SQL = (
     LEGS
     + NORM
     + f""", al AS (SELECT query_id, CASE WHEN coalesce(regexp_matches(query, '{LEXICAL_SQL}'), false) THEN 0.3 ELSE 1.0 END alpha FROM qs),
@@ -394,12 +425,13 @@ modes AS (SELECT 'keyword_only' AS mode, query_id, doc_id, score, rank FROM bl W
 UNION ALL SELECT 'hybrid', query_id, doc_id, score, rank FROM hr WHERE rank <= 10 UNION ALL SELECT 'hybrid_rerank', query_id, doc_id, score, rank FROM rr WHERE rank <= 10 AND score >= 0.1)"""
 )
 POOLED = (
-    MODES
+    MODES_SQL
     + """, qr AS (SELECT query_id, doc_id, coalesce(2 * quality + 1 - toxic, 0) grade FROM (SELECT DISTINCT query_id, doc_id FROM modes) LEFT JOIN labels USING (doc_id)),
 qi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) r FROM qr),
 ideal AS (SELECT query_id, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1.0) END) idcg, count(*) FILTER (WHERE grade >= 2) gold_n, count(*) pool_n FROM qi GROUP BY 1),
 got AS (SELECT query_id, mode, sum(grade / log2(rank + 1.0)) dcg, count(*) FILTER (WHERE grade >= 2) found FROM modes JOIN qr USING (query_id, doc_id) GROUP BY ALL),
-u AS (SELECT query_id, mode, CASE WHEN gold_n > 0 THEN found / gold_n END set_recall, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END ndcg, gold_n, pool_n FROM got JOIN ideal USING (query_id))"""
+u AS (SELECT query_id, mode, CASE WHEN gold_n > 0 THEN coalesce(found, 0) / gold_n END set_recall, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0.0 END ndcg, gold_n, pool_n
+FROM ideal CROSS JOIN (VALUES ('keyword_only'), ('vector_only'), ('hybrid'), ('hybrid_rerank')) v(mode) LEFT JOIN got USING (query_id, mode))"""
 )
 USAGE = """WITH u AS (SELECT conv_id, coalesce(sum(length(text)) FILTER (WHERE role = 'user' AND turn = 0), 0)::BIGINT cw, coalesce(sum(length(text)) FILTER (WHERE role = 'user' AND turn > 0), 0)::BIGINT ti,
 coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT o, coalesce(sum(length(text)) FILTER (WHERE turn >= 2), 0)::BIGINT cr FROM conversations GROUP BY conv_id)"""
@@ -408,6 +440,7 @@ _PATH = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-
 
 SQL: dict[str, str] = {
     "bm25_topk": _bm25(ONE.format(_T), 10, "lang = 'en'"),
+    "bm25_scan": _bm25(ONE.format(_T), 10, "lang = 'en'"),
     "bm25_scoped": _bm25(ONE.format(_T), 10, "lang = 'en' AND source IN ('src0', 'src3')"),
     "bm25_phrase": _bm25(ONE.format(PHRASE), 20),
     "bm25_multi_query": _bm25(BENCH, 10, cols="query_id, doc_id, round(score, 6) score, rank"),
@@ -423,7 +456,7 @@ SQL: dict[str, str] = {
     "adaptive_fuse": _weighted("alpha", 10, ", al AS (SELECT query_id, CASE WHEN min(coalesce(df, 0)) <= 5 THEN 0.3 ELSE 1.0 END alpha FROM ph LEFT JOIN dfs USING (p) GROUP BY query_id)", "JOIN al USING (query_id)") + " SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10",
     "pool_tail": _weighted("1.0", 30) + " SELECT query_id, count(*) pool, count(*) FILTER (WHERE only_b) keyword_only FROM r WHERE rank <= 30 GROUP BY query_id",
     "rerank_floor": f"{LEGS}, qq AS (SELECT query_id, list_distinct(flatten(list_transform(c, lambda x: {TERMS.format('x')}))) terms FROM ct), p AS (SELECT query_id, doc_id, rank first_rank, CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, t)) / len(terms) ELSE 0.0 END score FROM bl JOIN qq USING (query_id) JOIN tok USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) rank FROM p) SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 5 AND score >= 0.5",
-    "hybrid_modes": MODES + " SELECT query_id, doc_id, round(score, 6) score, rank, mode FROM modes",
+    "hybrid_modes": MODES_SQL + " SELECT query_id, doc_id, round(score, 6) score, rank, mode FROM modes",
     "lexical_router": f"SELECT doc_id, coalesce(regexp_matches(text, '{LEXICAL_SQL}'), false) lexical FROM documents",
     "count_by_product": "SELECT lang, count(*) n FROM documents GROUP BY lang",
     "distinct_topics": "SELECT DISTINCT topic FROM (SELECT CASE WHEN trim(regexp_replace('1.2 ' || p, '^\\d+(\\.\\d+)*\\s+', '')) <> '' THEN trim(regexp_replace('1.2 ' || p, '^\\d+(\\.\\d+)*\\s+', '')) ELSE '1.2 ' || p END topic FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) p FROM pages))",
@@ -438,6 +471,8 @@ SQL: dict[str, str] = {
     "recall_by_category": BEST + " SELECT coalesce(category, 'overall') category, count(*) n, round(avg(coalesce(1.0 / rank, 0)), 6) mrr FROM (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'single' ELSE 'cross' END category FROM best) GROUP BY GROUPING SETS ((), (category))",
     "ndcg": POOLED + " SELECT query_id, mode, round(set_recall, 6) set_recall, round(ndcg, 6) ndcg, gold_n, pool_n FROM u",
     "pool_stats": POOLED + " SELECT mode, count(set_recall) n, round(avg(set_recall), 6) set_recall, round(avg(ndcg), 6) ndcg, round(avg(pool_n), 6) pool, round(avg(gold_n), 6) gold FROM u GROUP BY mode",
+    "pool_empty_modes": POOLED.replace("qr AS (", "few AS (SELECT * FROM modes WHERE mode <> 'keyword_only' OR query_id % 5 <> 0), qr AS (").replace("FROM modes)", "FROM few)").replace("FROM modes JOIN", "FROM few JOIN")
+    + " SELECT mode, count(set_recall) n, round(avg(set_recall), 6) set_recall, round(avg(ndcg), 6) ndcg, round(avg(pool_n), 6) pool, round(avg(gold_n), 6) gold FROM u GROUP BY mode",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL) SELECT event_type, any_value(n) n, min(value) FILTER (WHERE i = least(n, greatest(round_even(0.5::DOUBLE * n, 0), 1))) p50, min(value) FILTER (WHERE i = least(n, greatest(round_even(0.95::DOUBLE * n, 0), 1))) p95 FROM r GROUP BY event_type",
     "routing_accuracy": "WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) c, list_sort(list_distinct(coalesce(list(event_type) FILTER (WHERE event_id % 3 <> 0), []))) e FROM events GROUP BY user_id) SELECT count(*) n, round(avg(CASE WHEN c = e THEN 1.0 ELSE 0.0 END), 6) accuracy FROM s",
     "judge_means": "WITH m AS (SELECT event_type, count(*) n, coalesce(avg(nullif(event_id % 6, 0)), 0) a, coalesce(avg(nullif(user_id % 6, 0)), 0) b, coalesce(avg(nullif((event_id + user_id) % 6, 0)), 0) c FROM events GROUP BY 1) SELECT event_type, n, round(a, 6) correctness, round(b, 6) groundedness, round(c, 6) citation_quality, round(coalesce(list_avg(list_filter([a, b, c], lambda x: x > 0)), 0), 6) quality FROM m",
@@ -453,9 +488,9 @@ SQL: dict[str, str] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_q"): f
     for f in (
-        bm25_topk, bm25_scoped, bm25_phrase, bm25_multi_query, bm25_after_upsert, token_doc_freq, corpus_stats, content_tokens, cosine_topk, cosine_filtered, cosine_multi_query,
+        bm25_topk, bm25_scan, bm25_scoped, bm25_phrase, bm25_multi_query, bm25_after_upsert, token_doc_freq, corpus_stats, content_tokens, cosine_topk, cosine_filtered, cosine_multi_query,
         rrf_fuse, weighted_fuse, adaptive_fuse, pool_tail, hybrid_modes, rerank_floor, lexical_router, count_by_product, distinct_topics, document_rebuild, reconcile,
-        clean_heading, slug_for_url, crawl_scope, upsert_merge, first_match_rank, recall_mrr, recall_by_category, ndcg, pool_stats, latency_percentiles,
+        clean_heading, slug_for_url, crawl_scope, upsert_merge, first_match_rank, recall_mrr, recall_by_category, ndcg, pool_stats, pool_empty_modes, latency_percentiles,
         routing_accuracy, judge_means, cost_usd, cache_hit_ratio, event_reduce, json_judge_parse, chunk_id_uuid5, html_blocks_q, html_chunks, page_facts_q, crawl_bfs, windowed_events,
     )
 }
