@@ -9,7 +9,7 @@ common one among the first p + 1.
 - Heavy sets, and those light ones that are large enough to be linked with a heavy one, stand in
   the inverted lists of their first p shingles. Lists without a heavy set are left aside.
 
-The boundary is the size at which rows and expected list scans together cost least, from
+Keys also name a class of sizes, so that sets of far sizes share no bucket. The boundary is the size at which rows and expected list scans together cost least, from
 statistics over all sets. A subset and a list are both a bucket, decided as in `neardup`: around
 hubs, then in blocks. What rules a pair out there is exact: sizes, and bitmaps of parities, which
 differ in no more bits than the sets in shingles. Nothing that is linked gets lost.
@@ -18,7 +18,8 @@ differ in no more bits than the sets in shingles. Nothing that is linked gets lo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 from tessera.llm.linear import by_block
-from tessera.llm.neardup import Registers, _keyed, _set_ids, _Side, classes_of, linked_labels, shingle_sets, with_components
+from tessera.llm.neardup import BLOCK, Registers, _keyed, _set_ids, _Side, classes_of, linked_labels, shingle_sets, with_components
 from tessera.session import discard, materialize
 
 U64 = tk.U64
-#: Cells of the count table (a power of two), and of one of the slices it is summed in.
-CELL_BITS, SLICE = 22, 1 << 16
+#: Cells of the count table (a power of two), bits of the screen of shared keys (as many), and the bytes of one of the slices they are put together in.
+CELL_BITS, SCREEN_BITS, SLICE = 24, 26, 1 << 16
 CELLS = 1 << CELL_BITS
+#: Sizes from which on sets are of another class: sets of far sizes share no bucket.
+CLASSES = np.unique(np.floor(1.5 ** np.arange(1, 60)).astype(np.int64))
 #: Steps of a doubling in which counts are told apart.
 STEPS = 64
+#: Sets whose bitmaps are compared in the time that a row takes.
+COMPARED = 64
 #: Largest size that the boundary is sought up to; subsets of two grow with the square of the size.
 MOST_LIGHT = 400
 _SUBSET, _LISTED = U64(0x9FB21C651E98DF25), U64(0xA24BAED4963EE407)
@@ -46,10 +51,34 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-n * num // den) + 1
 
 
+def put_together(parts: DataFrame, width: int, together: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type) -> np.ndarray:
+    """One array of `width` entries from arrays that tasks made (slice, part: the bytes of SLICE entries of 8 bits, deflated), slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(c), np.uint8).astype(kind)
+                held[i] = together(held[i], part) if i in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([zlib.compress(h.tobytes(), 1) for h in held.values()], pa.binary())], names=["slice", "part"])
+
+    out = np.zeros((width // SLICE, SLICE), kind)
+    for r in parts.repartition("slice").mapInArrow(run, "slice long, part binary").toLocalIterator():  # `width` entries at any size of the input
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r.part), kind)
+    return out.ravel()
+
+
+def slices(entries: np.ndarray) -> pa.RecordBatch:
+    """The slices of an array of 8-bit entries that hold any."""
+    rows = entries.reshape(-1, SLICE)
+    some = np.flatnonzero(rows.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in some], pa.binary())], names=["slice", "part"])
+
+
 def shingle_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
     """For each cell the number of sets that hold a shingle of it, as steps of a logarithm; and the mean number.
 
-    A task adds up its own cells, up to 255 each, and sends one byte a cell.
+    A task adds up its own cells, up to 255 each, and sends one byte a cell at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,24 +86,31 @@ def shingle_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
         for b in batches:
             for _, _, data, offsets in by_block(b.column(0)):
                 np.add.at(counts, (shingle_sets(data, offsets, k)[0] >> U64(64 - CELL_BITS)).astype(np.int64), 1)
-        slices = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SLICE)
-        some = np.flatnonzero(slices.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([slices[i].tobytes() for i in some], pa.binary())], names=["slice", "counts"])
+        yield slices(np.minimum(counts, 255).astype(np.uint8))
+
+    counts = put_together(docs.select("text").mapInArrow(run, "slice long, part binary"), CELLS, np.add, np.uint32)
+    return (np.log2(counts + 1.0) * STEPS).astype(np.uint16), float(counts.mean(dtype=np.float64))
+
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def key_screen(keys: DataFrame) -> np.ndarray:
+    """Packed bits of which each key sets one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SCREEN_BITS, bool)
         for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c.as_buffer(), np.uint8).astype(np.uint64)
-        steps = [(np.log2(s + 1.0) * STEPS).astype(np.uint16).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(steps, pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())], names=["slice", "steps", "all"])
+            bits[(b.column(0).to_numpy().view(U64) >> U64(64 - SCREEN_BITS)).astype(np.int64)] = True
+        yield slices(np.packbits(bits, bitorder="little"))
+
+    return put_together(keys.select("key").mapInArrow(run, "slice long, part binary"), 1 << (SCREEN_BITS - 3), np.bitwise_or, np.uint8)
+
+
+def on_screen(screen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> U64(64 - SCREEN_BITS)).astype(np.int64)
+    return (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    parts = docs.select("text").mapInArrow(run, "slice long, counts binary")
-    found = parts.repartition("slice").mapInArrow(add, "slice long, steps binary, all long").collect()  # CELLS cells at any size of the input
-    levels = np.zeros((CELLS // SLICE, SLICE), np.uint16)
-    for r in found:
-        levels[r["slice"]] = np.frombuffer(r.steps, np.uint16)
-    return levels.ravel(), sum(r["all"] for r in found) / CELLS
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(CLASSES, n, side="right")
 
 
 def parity_bits(n: np.ndarray) -> np.ndarray:
@@ -113,12 +149,12 @@ def bit_distance(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
-def subset_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return tk.mix64(tk.mix64(one * _SUBSET) + two)
+def subset_keys(one: np.ndarray, two: np.ndarray, sized: np.ndarray | int) -> np.ndarray:
+    return tk.mix64(tk.mix64(one * _SUBSET + np.asarray(sized, U64)) + two)
 
 
-def list_keys(one: np.ndarray) -> np.ndarray:
-    return tk.mix64(one ^ _LISTED)
+def list_keys(one: np.ndarray, sized: np.ndarray | int) -> np.ndarray:
+    return tk.mix64(tk.mix64(one ^ _LISTED) + np.asarray(sized, U64))
 
 
 class Parities(Registers):
@@ -177,12 +213,13 @@ class Parities(Registers):
         one = np.minimum.reduceat(rank, start)
         two = np.minimum.reduceat(np.where(rank == np.repeat(one, size), len(own), rank), start)
         known = np.append(own, U64(0))
-        keys = np.where(light, subset_keys(known[one], known[two]), list_keys(known[one])).view(np.int64)
+        sized = size_class(np.minimum(y.n[at], x.n[i]))
+        keys = np.where(light, subset_keys(known[one], known[two], sized), list_keys(known[one], sized)).view(np.int64)
         return at[(keys == key) & (np.where(light, two, one) < len(own))]
 
 
 def _features(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray, mean: float) -> DataFrame:
-    """doc_id, th, n, cid, regs (the bitmap), prefix (the first p + 1 shingles) and scan (expected length of the first p lists) of every row."""
+    """doc_id, th, n, cid, regs (the bitmap), prefix (the first p + 1 shingles) and scan (how many others the first p lists may hold, up to a block each) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["doc_id", "th", "n", "cid", "regs", "prefix", "scan"]
 
@@ -201,8 +238,9 @@ def _features(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray, m
                 size = np.minimum(p + 1, n)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 raw = h[first].tobytes()
-                expected = np.maximum(np.exp2(level[order] / STEPS) - 1 - mean, 1)
-                scan = np.concatenate([[0], np.cumsum(np.where(place < np.repeat(p, n), expected, 0))])[bounds]
+                # What stands out of the other shingles of a cell.
+                others = np.clip(np.exp2(level[order] / STEPS) - 2 - mean - 3 * math.sqrt(mean), 0, BLOCK)
+                scan = np.concatenate([[0], np.cumsum(np.where(place < np.repeat(p, n), others, 0))])[bounds]
                 columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(_set_ids(h, bounds), pa.binary()), pa.array(parities(h, bounds), pa.binary())]
                 prefix = pa.array([raw[8 * a : 8 * e] for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, prefix, pa.array(np.diff(scan).astype(np.int64))], names=names)
@@ -211,40 +249,50 @@ def _features(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray, m
 
 
 def boundary_of(classes: DataFrame, num: int, den: int) -> int:
-    """The largest size of a light set: where the rows of light sets and the rows and scans of heavy ones are fewest in all."""
+    """The largest size of a light set: where the rows of light sets, and the rows and comparisons of heavy ones, cost least in all."""
     sizes = classes.groupBy(F.least("n", F.lit(MOST_LIGHT + 1)).alias("n")).agg(F.count("*").alias("rows"), F.sum("scan").alias("scan")).collect()  # MOST_LIGHT + 1 rows at most
     light, heavy = np.zeros(MOST_LIGHT + 2), np.zeros(MOST_LIGHT + 2)
     for r in sizes:
         p = int(prefix_length(np.int64(r.n), num, den))
-        light[r.n], heavy[r.n] = r.rows * math.comb(min(p + 1, r.n), 2), r.rows * p + r.scan
+        light[r.n], heavy[r.n] = r.rows * math.comb(min(p + 1, r.n), 2), r.rows * p + r.scan / COMPARED
     light[-1] = np.inf
     cost = np.cumsum(light)[:-1] + heavy.sum() - np.cumsum(heavy)[:-1]
     return int(cost.argmin())
 
 
-def _rows_of_buckets(classes: DataFrame, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, nid, n, subset): every subset and list that a set stands in."""
+def _rows_of_buckets(classes: DataFrame, num: int, den: int, boundary: int, screen: np.ndarray | None = None) -> DataFrame:
+    """(key, nid, n, subset): every subset and list that a set stands in, once for each class of sizes down to that of its smallest partner.
+
+    With a screen, only those whose keys may be shared.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(screen) if screen is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nid, n = (b.column(c).to_numpy() for c in range(2))
-            keys, owner, subset = [], [], []
+            top, low = size_class(n), size_class(-(-n * num // den))
+            keys, owner, subset, held = [], [], [], 0
             for i, p in enumerate(prefix_length(n, num, den).tolist()):
                 own = np.frombuffer(b.column(2)[i].as_buffer(), U64)
-                if n[i] <= boundary:
-                    one, two = np.triu_indices(len(own), 1)
-                    keys.append(subset_keys(own[one], own[two]))
-                    owner.append(np.full(len(one), i))
-                    subset.append(np.ones(len(one), bool))
-                if n[i] * den >= num * (boundary + 1):
-                    keys.append(list_keys(own[:p]))
-                    owner.append(np.full(p, i))
-                    subset.append(np.zeros(p, bool))
-                if sum(map(len, keys[-64:])) > 1 << 17 or i + 1 == len(n):
+                for sized in range(low[i], top[i] + 1):
+                    if n[i] <= boundary:
+                        one, two = np.triu_indices(len(own), 1)
+                        keys.append(subset_keys(own[one], own[two], sized))
+                        owner.append(np.full(len(one), i))
+                        subset.append(np.ones(len(one), bool))
+                    if n[i] * den >= num * (boundary + 1):
+                        keys.append(list_keys(own[:p], sized))
+                        owner.append(np.full(p, i))
+                        subset.append(np.zeros(p, bool))
+                held += p
+                if held > 1 << 16 or i + 1 == len(n):
                     at = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-                    columns = [np.concatenate(keys).view(np.int64) if keys else at, nid[at], n[at], np.concatenate(subset) if subset else at.astype(bool)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "nid", "n", "subset"])
-                    keys, owner, subset = [], [], []
+                    columns = [np.concatenate(keys) if keys else at.view(U64), nid[at], n[at], np.concatenate(subset) if subset else at.astype(bool)]
+                    if shared is not None:
+                        kept = on_screen(shared.value, columns[0])
+                        columns = [c[kept] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["key", "nid", "n", "subset"])
+                    keys, owner, subset, held = [], [], [], 0
 
     # A set and a different one that it is linked with have more than num / (den - num) shingles together in common.
     able = classes.where(F.col("n") * (den - num) >= num)
@@ -252,12 +300,14 @@ def _rows_of_buckets(classes: DataFrame, num: int, den: int, boundary: int) -> D
 
 
 def _members(classes: DataFrame, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, nid, n, hub, hub_n, m) of the sets of each bucket of two or more; of lists, only those that hold a heavy set."""
-    rows = lambda: _rows_of_buckets(classes, num, den, boundary)
-    found = rows().groupBy("key").agg(F.min(F.struct("nid", "n")).alias("hub"), F.count("*").alias("m"), F.max("n").alias("top"), F.first("subset").alias("subset"))
+    """(key, nid, n, hub, hub_n, m) of the sets of each bucket of two or more; of lists, only those that hold a heavy set.
+
+    Few keys are shared. Their bits form a screen of a fixed size, behind which only the rows of shared keys are exchanged, until the screen is full.
+    """
+    found = _rows_of_buckets(classes, num, den, boundary).groupBy("key").agg(F.min(F.struct("nid", "n")).alias("hub"), F.count("*").alias("m"), F.max("n").alias("top"), F.first("subset").alias("subset"))
     shared = found.where((F.col("m") > 1) & (F.col("subset") | (F.col("top") > boundary))).select("key", "m", F.col("hub.nid").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = materialize(shared, "buckets")
-    members = materialize(rows().drop("subset").join(shared, "key"), "members")
+    members = materialize(_rows_of_buckets(classes, num, den, boundary, key_screen(shared)).drop("subset").join(shared, "key"), "members")
     discard(shared)
     return members
 

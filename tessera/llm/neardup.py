@@ -36,8 +36,9 @@ U64 = tk.U64
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA = 10
-#: Open buckets get another hub while one in so many of the last round's pairs is a link, in so many rounds at most.
-USEFUL, ROUNDS = 8, 8
+#: Open buckets get another hub while one in so many of the last round's pairs is a link, in so many rounds at most, and
+#: while there is a link for so many open members: each round has a price of its own, and blocks decide the rest as well.
+USEFUL, ROUNDS, WORTH = 8, 8, 64
 #: What is held together when open buckets are decided whole: members, and their shingles.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: For each register the order in which others are asked to stand in for an empty one.
@@ -224,15 +225,16 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, screen: Registers) -> tuple[DataFrame, bool]:
-    """The links among proposed pairs, written; and whether they are many enough for another round of hubs."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, screen: Registers) -> tuple[DataFrame, int]:
+    """The links among proposed pairs, written; and their number, or 0 if they are too few of the pairs for another round of hubs."""
     likely = materialize(_likely(pairs, classes, screen), "pairs")
     nids = materialize(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nids")
     texts = _texts(docs, classes, nids)
     links = materialize(_links(likely, texts, k, screen.num, screen.den), "links")
-    useful = links.count() * USEFUL >= likely.count()
+    found = links.count()
+    useful = found * USEFUL >= likely.count()
     discard(likely, nids, texts)
-    return links, useful
+    return links, found if useful else 0
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -408,9 +410,9 @@ def linked_labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: in
         opened = materialize(_open(members, labels), "opened")
         discard(whole, links)
         members, whole, turn = opened, opened, turn + 1
-        if not opened.limit(1).count():
+        if not (left := opened.count()):
             break
-        if last := not useful or turn > ROUNDS:
+        if last := useful * WORTH < left or turn > ROUNDS:
             links = _decided(opened, docs, classes, k, screen)
         else:
             pairs, useful = _confirmed(_around_hubs(opened, turn), docs, classes, k, screen)
