@@ -98,6 +98,29 @@ def parse_judgment(text: Column, top: int = 5) -> Column:
     return F.struct(*(score(j[a], top).alias(a) for a in AXES), F.coalesce(j["rationale"], F.lit("")).alias("rationale"))
 
 
+#: The labels of a judge's prompt and how many chunks it shows.
+PROMPT, NO_CHUNKS, PROMPT_CHUNKS = "QUESTION:\n{}\n\nANSWER TO EVALUATE:\n{}\n\nRETRIEVED CHUNKS (the answer should be grounded in these):\n{}", "(no chunks retrieved)", 8
+
+
+def judge_prompts(rows: DataFrame, chunks: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, prompt) of answers (key, question, answer): what a judge is asked, with the whole texts of the first chunks
+    (key, rank, score, section_path, text), each under its score and path."""
+    line = F.concat(F.lit("- ["), F.col("score").cast("string"), F.lit("] "), F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), " > "), F.lit(": "), F.coalesce("text", F.lit("")))
+    shown = chunks.where(F.col("rank") <= PROMPT_CHUNKS).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    parts = PROMPT.split("{}")
+    filled = [F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")), F.coalesce("lines", F.lit(NO_CHUNKS))]
+    return rows.join(shown, key, "left").select(key, F.concat(F.lit(parts[0]), *(c for pair in zip(filled, map(F.lit, parts[1:]), strict=True) for c in pair)).alias("prompt"))
+
+
+def pool_prompts(units: DataFrame, passages: DataFrame, key: str = "query_id", size: int = 500) -> DataFrame:
+    """(key, prompt) of queries (key, product, query): the query and its pooled passages (key, no, section_path, text), numbered
+    from 1, their white space folded and `size` characters of each."""
+    text = F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\x1C-\x1F]+", " ")), 1, size)
+    line = F.concat(F.col("no").cast("string"), F.lit(". ["), F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), " > "), F.lit("] "), text)
+    shown = passages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return units.join(shown, key, "left").select(key, F.concat(F.lit("QUERY (about "), F.upper("product"), F.lit("):\n"), "query", F.lit("\n\nPASSAGES:\n"), F.coalesce("lines", F.lit(""))).alias("prompt"))
+
+
 def align_judgments(rows: DataFrame, judged: DataFrame, key: str = "custom_id") -> DataFrame:
     """Every row with its judgment; all zero where the batch has none."""
     out = rows.join(judged.select(key, *AXES), key, "left")

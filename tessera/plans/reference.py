@@ -17,14 +17,19 @@ from tessera.config import MODES, STOPWORDS, RetrievalConfig
 from tessera.functions import text as tx
 from tessera.operators import bm25 as kw
 from tessera.operators import catalog, evals, fusion
-from tessera.operators.chunking import html_blocks, pack_chunks, page_facts
+from tessera.operators.chunking import html_blocks, pack_chunks, page_facts, text_blocks
 from tessera.operators.keyword_index import KeywordIndex
-from tessera.operators.retrieve import retrieve, retrieve_modes
+from tessera.operators.retrieve import KnowledgeBase, retrieve, retrieve_modes
 from tessera.operators.vector import cosine_search
+from tessera.operators.vector_store import VectorStore
+from tessera.plans.loop import tool_loop, widening_router
 from tessera.session import materialize, scratch_path, scratch_root
-from tessera.sources.fetch import crawl
+from tessera.sources.fetch import crawl, expand_modes
+from tessera.sources.fetch import semantic_units as fetch_units
 from tessera.sources.tables import table
+from tessera.streaming.bucket_store import BucketStore
 from tessera.streaming.ingest import reduce_events
+from tessera.streaming.stateful import PROVIDER, out_schema, reduce_stream
 
 PHRASE = "the_of and_the theaea. the the"
 r6 = lambda c: F.round(c, 6)
@@ -146,6 +151,121 @@ def cosine_multi_query(spark: SparkSession, d: str) -> DataFrame:
     return _hits(cosine_search(vectors(spark, d), _vec_query(spark, d, "vec_id % 100 = 0"), 10, "doc_id"))
 
 
+def vector_store(spark: SparkSession, d: str) -> VectorStore:
+    """The vectors as stored collections in the shared folder, one a label."""
+    v = vectors(spark, d)
+    products = tuple(sorted(r[0] for r in v.select("product").distinct().collect()))  # a handful
+    store = VectorStore.create(spark, scratch_path(spark, "vectors"), 64, v.select("doc_id").schema, "doc_id", products)
+    store.upsert(v, v)
+    return store
+
+
+def cosine_after_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Searches in one collection after every third vector was turned around and moved to it, and every tenth was removed."""
+    store, v = vector_store(spark, d), vectors(spark, d)
+    moved = v.where("doc_id % 3 = 0").select("doc_id", F.reverse("embedding").alias("embedding"), F.lit("3").alias("product"))
+    store.upsert(moved, moved)
+    store.remove(v.where("doc_id % 10 = 7 AND doc_id % 3 <> 0"))
+    return _hits(store.search(_vec_query(spark, d, "vec_id % 100 = 0"), 10, "3"))
+
+
+def vector_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of ids divisible by 100 searched among all by the lists of an inverted file, as trained; with the share of the exact hits that is found."""
+    store = vector_store(spark, d).train(scratch_path(spark, "lists"))
+    q = _vec_query(spark, d, "vec_id % 100 = 0")
+    recall = store.recall(q).first().recall
+    return _hits(store.search(q, 10, probes=None)).withColumn("recall", F.lit(recall))
+
+
+def bucket_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of a bucketed table: every third one is replaced by its first turn, new ones come, a replayed batch does nothing."""
+    rows = table(spark, d, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit(0).alias("version"))
+    store = BucketStore(spark, scratch_path(spark, "buckets"), rows.schema, group="conv_id", buckets=16)
+    store.merge(rows, stream="s", batch=0)
+    first = rows.where("conv_id % 3 = 0 AND id LIKE '%:0'").withColumn("version", F.lit(1))
+    store.merge(first, replace=True, stream="s", batch=1)
+    new = rows.where("conv_id % 5 = 0").select((F.col("conv_id") + 1_000_000).alias("conv_id"), F.concat(F.lit("n"), "id").alias("id"), F.lit(2).alias("version"))
+    for batch in (2, 2, 1):
+        store.merge(new, stream="s", batch=batch)
+    return store.read().groupBy("conv_id", "version").agg(F.countDistinct("id").alias("n"))
+
+
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as Markdown: an indented heading, a mark without a title, which is text, and the turn's first line."""
+    line = F.trim(F.regexp_extract("text", r"^[^\r\n]*", 0))
+    made = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.concat(F.lit("# Turn "), "turn", F.lit("\n\n   ## "), "role", F.lit("  \n# \n"), line, F.lit("\n\n#### end")).alias("text"))
+    return text_blocks(made).select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.array_join("section_path", " > ").alias("path"), F.sha2("text", 256).alias("sha"))
+
+
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt that a judge would get for each benchmark query and its keyword hits."""
+    hits = kw.top_k(kw.bm25_scores(corpus(spark, d), bench_queries(spark, d), "doc_id"), 3, "doc_id").join(docs(spark, d).select("doc_id", "text", "lang", "source"), "doc_id")
+    chunks = hits.select("query_id", "rank", "score", F.array("lang", "source").alias("section_path"), "text")
+    rows = bench_queries(spark, d).select("query_id", F.col("query").alias("question"), F.lit("an answer").alias("answer"))
+    return evals.judge_prompts(rows, chunks).select("query_id", F.sha2("prompt", 256).alias("sha"))
+
+
+def first_per_product(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.first_per_group(docs(spark, d).select("lang", "doc_id"), "lang", "doc_id", 3)
+
+
+def semantic_units(spark: SparkSession, d: str) -> DataFrame:
+    """Questions (from the documents' heads) by expected product and mode, without exact terms and adversarial ones, and their categories."""
+    q = docs(spark, d).where("doc_id % 4 = 0").select(
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("adv-"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 40).alias("question"),
+        F.when(F.col("doc_id") % 8 == 0, F.array("lang", F.lit("all"))).otherwise(F.array("lang")).alias("expected_products"), F.array().cast("array<string>").alias("expected_section_keywords"), F.lit("").alias("notes"), F.when(F.col("doc_id") % 5 == 0, "exact_term").alias("tag"),
+    )
+    units = expand_modes(fetch_units(q), ["keyword_only", "hybrid"])
+    return units.select("id", "product", "mode", tx.category(F.col("id"), F.col("tag"), F.col("expected_products")).alias("category"))
+
+
+def align_judgments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their judgments, zero where there are none."""
+    judged = table(spark, d, "labels").select(F.col("doc_id").alias("custom_id"), F.col("quality").alias("correctness"), F.col("toxic").alias("groundedness"), (F.col("quality") + F.col("toxic")).alias("citation_quality"))
+    return evals.align_judgments(docs(spark, d).select(F.col("doc_id").alias("custom_id")), judged).select("custom_id", *(F.col(a).cast("long").alias(a) for a in evals.AXES))
+
+
+def oov_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Misses of the vector leg and rescues over the benchmark: a hit holds `license` in the pool's first ten."""
+    hits = retrieve_modes(docs(spark, d), vectors(spark, d), bench_queries(spark, d), 10, key="doc_id", index=corpus(spark, d)).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    ranks = hits.groupBy("query_id", "mode").agg(F.min(F.when(F.contains(F.lower("text"), F.lit("license")), F.col("rank"))).alias("rank"))
+    every = bench_queries(spark, d).select("query_id", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
+    return evals.oov_summary(every.join(ranks, ["query_id", "mode"], "left"), "query_id")
+
+
+def stream_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as events of a stream, in batches out of order, reduced by the stateful operator; each conversation ends with a done event."""
+    turns = table(spark, d, "conversations").withColumn("seq", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1)
+    made = turns.select("conv_id", "seq", F.when(F.col("role") == "assistant", "answer_delta").otherwise("tool_call").alias("type"), F.col("text").alias("payload"))
+    done = turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("seq")).select("conv_id", "seq", F.lit("done").alias("type"), F.lit(None).cast("string").alias("payload"))
+    events = made.unionByName(done).select(F.col("conv_id").alias("request_id"), F.col("seq").cast("long").alias("seq"), "type", "payload", F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("ts"))
+    path = scratch_path(spark, "events")
+    events.repartition(4, F.xxhash64("request_id", "seq")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        out = reduce_stream(stream, "1 day", 600_000).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out.awaitTermination()
+    rows = spark.read.schema(out_schema("long")).parquet(f"{path}/out")
+    return rows.select(F.col("request_id").alias("conv_id"), F.sha2("answer", 256).alias("answer_sha"), F.size("steps").cast("long").alias("steps"), "done")
+
+
+def tool_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark through the tool loop over two languages as products: number of results of every call."""
+    chunks = docs(spark, d).where("lang IN ('en', 'fr')").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("product"), F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), "text", F.array("lang").alias("section_path"), F.lit("u").alias("source_url"))
+    none = chunks.select("chunk_id", "product", "doc_id", F.array().cast("array<float>").alias("embedding")).limit(0)
+    index = KeywordIndex.build(chunks, scratch_path(spark, "loop-index"), "chunk_id", ["product", "doc_id"])
+    bases = [KnowledgeBase(chunks, none, p, index=index) for p in ("en", "fr")]
+    requests = bench_queries(spark, d).select(F.col("query_id").alias("request_id"), "query", F.col("q_vec"))
+    trace, _ = tool_loop(requests, bases, widening_router({"en": [" the "], "fr": [" le ", " la "]}), "keyword_only")
+    return trace.select("request_id", F.col("step").cast("long").alias("step"), F.col("call_no").cast("long").alias("call_no"), "tool", "num_results")
+
+
 def _legs(spark: SparkSession, d: str, depth: int = 30) -> tuple[DataFrame, DataFrame]:
     q = bench_queries(spark, d)
     return kw.top_k(kw.bm25_scores(corpus(spark, d), q, "doc_id"), depth, "doc_id"), cosine_search(vectors(spark, d), q, depth, "doc_id")
@@ -451,6 +571,17 @@ SQL: dict[str, str] = {
     "cosine_topk": _cosine("q.vec_id = 0", 10),
     "cosine_filtered": _cosine("q.vec_id = 0", 10, "e.label = 3"),
     "cosine_multi_query": _cosine("q.vec_id % 100 = 0", 10),
+    "cosine_after_upsert": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END e, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE label END p FROM embeddings WHERE vec_id % 10 <> 7 OR vec_id % 3 = 0),
+s AS (SELECT q.vec_id query_id, v.vec_id doc_id, round(list_cosine_similarity(v.e::DOUBLE[], q.embedding::DOUBLE[]), 9) score FROM v, embeddings q WHERE q.vec_id % 100 = 0 AND p = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM s) SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10""",
+    "bucket_upsert": "WITH r AS (SELECT conv_id, turn, 0 AS version FROM conversations WHERE NOT (conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)) UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE conv_id % 3 = 0 AND turn = 0 UNION ALL SELECT conv_id + 1000000, turn, 2 FROM conversations WHERE conv_id % 5 = 0) SELECT conv_id, version, count(DISTINCT turn) n FROM r GROUP BY ALL",
+    "markdown_blocks": r"SELECT conv_id || ':' || turn doc_id, 0::BIGINT block_no, 'Turn ' || turn || ' > ' || role AS path, sha256(trim('# ' || trim(regexp_extract(text, '^[^\r\n]*', 0)))) sha FROM conversations UNION ALL SELECT conv_id || ':' || turn, 1, 'Turn ' || turn || ' > ' || role, sha256('#### end') FROM conversations",
+    "judge_prompts": f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG}, h AS (SELECT query_id, string_agg('- [' || round(score, 9)::VARCHAR || '] ' || lang || ' > ' || source || ': ' || text, chr(10) ORDER BY rank) c FROM bl JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1) SELECT query_id, sha256('QUESTION:' || chr(10) || query || chr(10) || chr(10) || 'ANSWER TO EVALUATE:' || chr(10) || 'an answer' || chr(10) || chr(10) || 'RETRIEVED CHUNKS (the answer should be grounded in these):' || chr(10) || coalesce(c, '(no chunks retrieved)')) sha FROM qs LEFT JOIN h USING (query_id)",
+    "first_per_product": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) i FROM documents) WHERE i <= 3",
+    "semantic_units": "WITH q AS (SELECT doc_id::VARCHAR AS id, doc_id, CASE WHEN doc_id % 8 = 0 THEN [lang, 'all'] ELSE [lang] END e FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0) SELECT id, p product, mode, CASE WHEN len(e) > 1 THEN 'cross' ELSE 'single' END category FROM (SELECT id, e, unnest(e) p FROM q), (VALUES ('keyword_only'), ('hybrid')) v(mode)",
+    "align_judgments": "SELECT doc_id custom_id, coalesce(quality, 0)::BIGINT correctness, coalesce(toxic, 0)::BIGINT groundedness, coalesce(quality + toxic, 0)::BIGINT citation_quality FROM documents LEFT JOIN labels USING (doc_id)",
+    "oov_summary": MODES_SQL + ", rk AS (SELECT query_id, mode, min(rank) FILTER (WHERE contains(lower(text), 'license')) rank FROM modes JOIN documents USING (doc_id) GROUP BY ALL), ow AS (SELECT query_id, min(rank) FILTER (WHERE mode = 'keyword_only') k, min(rank) FILTER (WHERE mode = 'vector_only') v, min(rank) FILTER (WHERE mode = 'hybrid_rerank') r FROM qs LEFT JOIN rk USING (query_id) GROUP BY 1) SELECT count(*) FILTER (WHERE v IS NULL) vector_misses, count(*) FILTER (WHERE v IS NULL AND k IS NOT NULL) keyword_rescues, count(*) FILTER (WHERE v IS NULL AND r IS NOT NULL) rerank_rescues FROM ow",
+    "stream_reduce": "SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, text), '')) answer_sha, count(*) FILTER (WHERE role <> 'assistant') steps, true AS done FROM conversations GROUP BY conv_id",
     "rrf_fuse": f"{LEGS}, lg AS (SELECT query_id, doc_id, coalesce(1.0 / (60 + vl.rank), 0) + coalesce(1.0 / (60 + bl.rank), 0) score, coalesce(vl.rank, bl.rank + 1000000) tie FROM bl FULL OUTER JOIN vl USING (query_id, doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) rank FROM lg) SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10",
     "weighted_fuse": _weighted("0.5", 10) + " SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10",
     "adaptive_fuse": _weighted("alpha", 10, ", al AS (SELECT query_id, CASE WHEN min(coalesce(df, 0)) <= 5 THEN 0.3 ELSE 1.0 END alpha FROM ph LEFT JOIN dfs USING (p) GROUP BY query_id)", "JOIN al USING (query_id)") + " SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10",
@@ -489,6 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_q"): f
     for f in (
         bm25_topk, bm25_scan, bm25_scoped, bm25_phrase, bm25_multi_query, bm25_after_upsert, token_doc_freq, corpus_stats, content_tokens, cosine_topk, cosine_filtered, cosine_multi_query,
+        cosine_after_upsert, vector_lists, bucket_upsert, markdown_blocks, judge_prompts, first_per_product, semantic_units, align_judgments, oov_summary, stream_reduce, tool_trace,
         rrf_fuse, weighted_fuse, adaptive_fuse, pool_tail, hybrid_modes, rerank_floor, lexical_router, count_by_product, distinct_topics, document_rebuild, reconcile,
         clean_heading, slug_for_url, crawl_scope, upsert_merge, first_match_rank, recall_mrr, recall_by_category, ndcg, pool_stats, pool_empty_modes, latency_percentiles,
         routing_accuracy, judge_means, cost_usd, cache_hit_ratio, event_reduce, json_judge_parse, chunk_id_uuid5, html_blocks_q, html_chunks, page_facts_q, crawl_bfs, windowed_events,

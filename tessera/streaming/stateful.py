@@ -14,6 +14,10 @@ REDUCED = "request_id {kind}, answer string, steps array<string>, done boolean,
 _COLUMNS = ["request_id", "answer", "steps", "done", "timed_out", "late"]
 
 
+def out_schema(kind: str) -> str:
+    return REDUCED.format(kind=kind)
+
+
 class RequestReducer(StatefulProcessor):
     """The state of one request: its events by number until it is closed, then only that it is.
 
@@ -89,5 +93,5 @@ def reduce_stream(events: DataFrame, late: str = "10 minutes", timeout_ms: int =
     """
     rows = events.where(F.col("request_id").isNotNull() & F.col("seq").isNotNull())
     rows = rows.select("request_id", F.col("seq").cast("long").alias("seq"), "type", "payload", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    schema = REDUCED.format(kind=events.schema["request_id"].dataType.simpleString())
-    return rows.groupBy("request_id").transformWithStateInPandas(RequestReducer(timeout_ms), schema, "Append", "EventTime")
+    kind = events.schema["request_id"].dataType.simpleString()
+    return rows.groupBy("request_id").transformWithStateInPandas(RequestReducer(timeout_ms), out_schema(kind), "Append", "EventTime")
