@@ -161,6 +161,7 @@ class Parities(Registers):
     """Pairs of sets by sizes and bitmaps; a bucket decides those of which it is the first common one."""
 
     listed = ("prefix",)
+    worth = 64
 
     def __init__(self, num: int, den: int, boundary: int) -> None:
         super().__init__(num, den)

@@ -36,9 +36,8 @@ U64 = tk.U64
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA = 10
-#: Open buckets get another hub while one in so many of the last round's pairs is a link, in so many rounds at most, and
-#: while there is a link for so many open members: each round has a price of its own, and blocks decide the rest as well.
-USEFUL, ROUNDS, WORTH = 8, 8, 64
+#: Open buckets get another hub while one in so many of the last round's pairs is a link, in so many rounds at most.
+USEFUL, ROUNDS = 8, 8
 #: What is held together when open buckets are decided whole: members, and their shingles.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: For each register the order in which others are asked to stand in for an empty one.
@@ -147,10 +146,12 @@ class Registers:
     """What the stages on pairs know of a class beside its size: its sketch, which also tells the bands.
 
     Another candidate search brings its own: `listed` names columns of the classes that are read
-    only where texts are compared.
+    only where texts are compared. `worth` ends the rounds of hubs where there are more open members
+    for a link of the last one, as each round has a price of its own and blocks decide the rest as well.
     """
 
     listed: tuple[str, ...] = ()
+    worth = float("inf")
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
@@ -412,7 +413,7 @@ def linked_labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: in
         members, whole, turn = opened, opened, turn + 1
         if not (left := opened.count()):
             break
-        if last := useful * WORTH < left or turn > ROUNDS:
+        if last := not useful or useful * screen.worth < left or turn > ROUNDS:
             links = _decided(opened, docs, classes, k, screen)
         else:
             pairs, useful = _confirmed(_around_hubs(opened, turn), docs, classes, k, screen)
