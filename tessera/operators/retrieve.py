@@ -105,6 +105,12 @@ def tool_registry(bases: list[KnowledgeBase]) -> DataFrame:
     return spark.createDataFrame([(t, b.product, t[len(b.product) + 1 :]) for b in bases for t in b.tools()], "tool string, product string, original string")
 
 
+def product_rows(bases: list[KnowledgeBase], ports: dict[str, int]) -> DataFrame:
+    """(product, port, tool, doc_ids) of every tool of every product: what a deployment is made from. doc_ids: the module a search is narrowed to, else empty."""
+    rows = [(b.product, ports.get(b.product), t, b.scopes.get(t.split("_search_", 1)[-1], []) if "_search_" in t else []) for b in bases for t in b.tools()]
+    return bases[0].chunks.sparkSession.createDataFrame(rows, "product string, port int, tool string, doc_ids array<string>")
+
+
 def keyword_router(queries: DataFrame, products: dict[str, list[str]]) -> DataFrame:
     """(query_id, product): the deterministic stand-in for a model's choice of tools: products whose keywords stand in the query; all if none."""
     low = F.lower(F.col("query"))

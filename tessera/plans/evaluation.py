@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.config import MODES, RetrievalConfig
 from tessera.functions.text import category, mentions, with_path
 from tessera.operators.evals import by_bar, hit_rates, oov_summary, overall_and_by, report, summarize_results
 from tessera.operators.retrieve import KnowledgeBase, retrieve
+from tessera.session import materialize
 
 
 def units(questions: DataFrame, vectors_of: DataFrame) -> DataFrame:
@@ -38,6 +41,36 @@ def retrieval_eval(units_: DataFrame, chunks: DataFrame, vectors: DataFrame, pro
     return every.join(ranks, ["query_id", "mode"], "left").select("query_id", "category", "product", "mode", "rank_text", inverse("rank_text").alias("rr_text"), "rank_section", inverse("rank_section").alias("rr_section"))
 
 
+def measured_runs(queries: DataFrame, runs: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(query_id, run, hits, top, ms, queries, error) of named runs (modes, or single legs), each giving (query_id, score, ...).
+
+    Every query has a row for every run: its number of hits and best score, the milliseconds of the whole run and how
+    many queries shared them. A run that fails costs no other: its queries keep rows with the error and no hits.
+    """
+    n, ids = queries.count(), queries.select("query_id")
+    out = None
+    for name, make in runs.items():
+        began, error, got, seen = time.perf_counter(), None, None, Observation()
+        try:
+            got = materialize(make().groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("top")).observe(seen, F.count("*").alias("answered")), "run")
+            if seen.get["answered"] > n:
+                error = "hits of queries that were not asked"
+        except Exception as e:  # noqa: BLE001 - whatever a provider or a plan raises becomes a row
+            error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        ms = round((time.perf_counter() - began) * 1000, 1)
+        rows = ids.join(got, "query_id", "left") if got is not None else ids.withColumns({"hits": F.lit(None).cast("long"), "top": F.lit(None).cast("double")})
+        rows = rows.select("query_id", F.lit(name).alias("run"), F.coalesce("hits", F.lit(0)).alias("hits"), "top", F.lit(ms).alias("ms"), F.lit(n).alias("queries"), F.lit(error).cast("string").alias("error"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def run_summary(measured: DataFrame) -> DataFrame:
+    """By run: queries, how many have hits, how many failed, and milliseconds in all and a query."""
+    return measured.groupBy("run").agg(
+        F.count("*").alias("n"), F.count_if(F.col("hits") > 0).alias("with_hits"), F.count("error").alias("failed"), F.max("ms").alias("ms"), (F.max("ms") / F.max("queries")).alias("ms_a_query")
+    )
+
+
 def scorecard(rows: DataFrame, cfg: RetrievalConfig | None = None) -> str:
     """Markdown: the configuration, both bars by mode, and each category by its own bar."""
     aggs: list[Column] = [F.count("*").alias("n"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr")]

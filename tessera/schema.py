@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = "id string, product string, doc_id string, chunk_index int, text string, section_path array<string>, source_url string"
 DOCUMENT = "id string, product string, title string, source_url string, full_text string"
@@ -18,6 +19,19 @@ JUDGMENT = "correctness string, groundedness string, citation_quality string, ra
 PRODUCTS = ("erp", "epm", "oci")
 
 
+def create_if_absent(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at this path, made empty if there is none; one of other columns or types is an error."""
+    want = StructType.fromDDL(schema)
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(jp, "_SUCCESS")):
+        spark.createDataFrame([], want).coalesce(1).write.mode("overwrite" if fs.exists(jp) and not fs.listStatus(jp) else "errorifexists").parquet(path)
+    found = spark.read.parquet(path)
+    if [(f.name, f.dataType) for f in found.schema.fields] != [(f.name, f.dataType) for f in want.fields]:
+        raise ValueError(f"{path} has the columns {found.schema.simpleString()}")
+    return found
+
+
 def chunk_errors(products: tuple[str, ...] | None = PRODUCTS) -> Column:
     """Names of the chunk columns that break a rule, in column order; empty if the row is valid."""
     blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import chunk_id, in_scope, slug_for_url, urldefrag
+from tessera.functions.seams import with_retry
 from tessera.operators.chunking import TokenCounter, html_blocks, pack_chunks, page_facts, pdf_blocks, pieces, text_blocks
 from tessera.schema import CHUNK, MANIFEST, QUESTION, RECORD
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +101,8 @@ def crawl(pages: DataFrame, seed: str, host_prefix: str, path_prefix: str, cap:
         links = got.select("place", F.posexplode("links").alias("no", "url")).where(in_scope(F.col("url"), host_prefix, path_prefix))
         links = links.groupBy("url").agg(F.min(F.col("place") * 1_000_000 + F.col("no")).alias("at"))
         frontier = materialize(links.join(visited, "url", "left_anti"), "frontier")
-        visited = visited.union(frontier.select("url"))
+        before, visited = visited, materialize(visited.union(frontier.select("url")), "visited")
+        discard(before)
     if saved is None:
         return facts.where("false").select("url", F.lit("").alias("doc_id"), "title", F.lit("").alias("html"), F.lit(0).alias("place"))
     body = pages.select(urldefrag(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
@@ -158,9 +160,11 @@ def dry_run(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("product").agg(F.count("*").alias("n"))
 
 
-def fetch_urls(wanted: DataFrame, get: Callable[[str], bytes], have: DataFrame | None = None, limit: int | None = None, force: bool = False) -> DataFrame:
+def fetch_urls(wanted: DataFrame, get: Callable[[str], bytes], have: DataFrame | None = None, limit: int | None = None, force: bool = False, retryable: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), attempts: int = 3, wait: float = 0.5) -> DataFrame:
     """(product, doc_id, url, content, error) of documents (product, doc_id, url) by a provider's `get`.
 
+    Retryable errors are tried again after growing waits, up to `attempts` calls in all.
+
     Documents that `have` (product, doc_id, content) holds with content are skipped unless forced;
     the limit is per product, in doc_id order. A failed fetch is a row with an error, not an abort.
     """
@@ -174,7 +178,7 @@ def fetch_urls(wanted: DataFrame, get: Callable[[str], bytes], have: DataFrame |
             got: list[tuple[bytes | None, str | None]] = []
             for url in b["url"]:
                 try:
-                    got.append((get(url), None))
+                    got.append((with_retry(lambda url=url: get(url), retryable, attempts, wait), None))
                 except Exception as e:  # noqa: BLE001 - any provider error becomes a row
                     got.append((None, f"{type(e).__name__}: {e}"))
             yield b.assign(content=[c for c, _ in got], error=[e for _, e in got])
