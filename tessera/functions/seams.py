@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tessera.functions.text import index_tokens
 
@@ -28,7 +29,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
 def embed_with(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 128, column: str = "embedding") -> DataFrame:
     """The table with vectors of a provider: texts go in batches of at most `batch`, lengths are checked."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column} array<float>"
+    schema = StructType([*df.schema.fields, StructField(column, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
