@@ -200,7 +200,7 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The prompt that a judge would get for each benchmark query and its keyword hits."""
     hits = kw.top_k(kw.bm25_scores(corpus(spark, d), bench_queries(spark, d), "doc_id"), 3, "doc_id").join(docs(spark, d).select("doc_id", "text", "lang", "source"), "doc_id")
-    chunks = hits.select("query_id", "rank", "score", F.array("lang", "source").alias("section_path"), "text")
+    chunks = hits.select("query_id", "rank", F.round("score", 3).alias("score"), F.array("lang", "source").alias("section_path"), "text")
     rows = bench_queries(spark, d).select("query_id", F.col("query").alias("question"), F.lit("an answer").alias("answer"))
     return evals.judge_prompts(rows, chunks).select("query_id", F.sha2("prompt", 256).alias("sha"))
 
@@ -576,7 +576,7 @@ s AS (SELECT q.vec_id query_id, v.vec_id doc_id, round(list_cosine_similarity(v.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM s) SELECT query_id, doc_id, round(score, 6) score, rank FROM r WHERE rank <= 10""",
     "bucket_upsert": "WITH r AS (SELECT conv_id, turn, 0 AS version FROM conversations WHERE NOT (conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)) UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE conv_id % 3 = 0 AND turn = 0 UNION ALL SELECT conv_id + 1000000, turn, 2 FROM conversations WHERE conv_id % 5 = 0) SELECT conv_id, version, count(DISTINCT turn) n FROM r GROUP BY ALL",
     "markdown_blocks": r"SELECT conv_id || ':' || turn doc_id, 0::BIGINT block_no, 'Turn ' || turn || ' > ' || role AS path, sha256(trim('# ' || trim(regexp_extract(text, '^[^\r\n]*', 0)))) sha FROM conversations UNION ALL SELECT conv_id || ':' || turn, 1, 'Turn ' || turn || ' > ' || role, sha256('#### end') FROM conversations",
-    "judge_prompts": f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG}, h AS (SELECT query_id, string_agg('- [' || round(score, 9)::VARCHAR || '] ' || lang || ' > ' || source || ': ' || text, chr(10) ORDER BY rank) c FROM bl JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1) SELECT query_id, sha256('QUESTION:' || chr(10) || query || chr(10) || chr(10) || 'ANSWER TO EVALUATE:' || chr(10) || 'an answer' || chr(10) || chr(10) || 'RETRIEVED CHUNKS (the answer should be grounded in these):' || chr(10) || coalesce(c, '(no chunks retrieved)')) sha FROM qs LEFT JOIN h USING (query_id)",
+    "judge_prompts": f"WITH {CORPUS}, {_phrases(BENCH)}, {KLEG}, h AS (SELECT query_id, string_agg('- [' || round(score, 3)::VARCHAR || '] ' || lang || ' > ' || source || ': ' || text, chr(10) ORDER BY rank) c FROM bl JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1) SELECT query_id, sha256('QUESTION:' || chr(10) || query || chr(10) || chr(10) || 'ANSWER TO EVALUATE:' || chr(10) || 'an answer' || chr(10) || chr(10) || 'RETRIEVED CHUNKS (the answer should be grounded in these):' || chr(10) || coalesce(c, '(no chunks retrieved)')) sha FROM qs LEFT JOIN h USING (query_id)",
     "first_per_product": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) i FROM documents) WHERE i <= 3",
     "semantic_units": "WITH q AS (SELECT doc_id::VARCHAR AS id, doc_id, CASE WHEN doc_id % 8 = 0 THEN [lang, 'all'] ELSE [lang] END e FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0) SELECT id, p product, mode, CASE WHEN len(e) > 1 THEN 'cross' ELSE 'single' END category FROM (SELECT id, e, unnest(e) p FROM q), (VALUES ('keyword_only'), ('hybrid')) v(mode)",
     "align_judgments": "SELECT doc_id custom_id, coalesce(quality, 0)::BIGINT correctness, coalesce(toxic, 0)::BIGINT groundedness, coalesce(quality + toxic, 0)::BIGINT citation_quality FROM documents LEFT JOIN labels USING (doc_id)",
