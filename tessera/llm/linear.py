@@ -171,7 +171,8 @@ def gather(docs: DataFrame, sample: DataFrame, features: Callable[[np.ndarray, n
             held += n
             took.append((at, what))
     chosen = docs.sparkSession.createDataFrame(took, "at long, what long")
-    table = seen.join(F.broadcast(chosen), ["at", "what"], "left_semi").select("at", "what", "y", "f", "c").toArrow()
+    # Repeated rows are dropped before they are collected: what the driver takes is bounded by `most`, however often a row stands.
+    table = seen.join(F.broadcast(chosen), ["at", "what"], "left_semi").select("at", "what", "y", "f", "c").dropDuplicates(["at", "what"]).toArrow()
     discard(seen)
     lists = [[np.asarray(x.values) for x in table[name]] for name in ("f", "c")]
     out = {(at, what): (y, f, c) for at, what, y, f, c in zip(*(table[c].to_pylist() for c in ("at", "what", "y")), *lists, strict=True)}

@@ -193,3 +193,20 @@ def test_thinning_keeps_the_smallest_places(spark):
     assert thinned(rows.limit(0), place, 50).count() == 0
     docs = rows.select("id", F.concat(F.lit("text number "), "id").alias("text"), F.lit("en").alias("lang"))
     assert langid.fit_langid(docs, max_texts=64).langs == ["en"]
+
+
+def test_repeated_rows_of_a_sample_are_collected_once(spark, monkeypatch):
+    """The driver takes as many rows as there are different ones, whatever their number of copies, and learns the same."""
+    from tessera.llm import linear
+
+    docs = spark.createDataFrame([(i, f"word{i} and more words") for i in range(6)], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, y int")
+    once = linear.gather(docs, sample, linear.word_ngrams, 1000)
+    took = []
+    many = docs.crossJoin(spark.range(50).select()).repartition(5)
+    assert many.count() == 300
+    seen = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: took.append(seen(df)) or took[-1])
+    again = linear.gather(many, sample, linear.word_ngrams, 1000)
+    assert [len(t) for t in took] == [6, 6]
+    assert [(y, f.tolist(), c.tolist()) for y, f, c in again] == [(y, f.tolist(), c.tolist()) for y, f, c in once] and len(again) == 6
