@@ -15,7 +15,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import jump_shard
-from tessera.session import discard, materialize, settled
+from tessera.session import discard, materialize, settled, small_batches
 from tessera.sources.tables import table
 
 
@@ -26,6 +26,7 @@ def _own(docs: DataFrame) -> list:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents of a quality score below 0.5 go. Learnt from all labelled rows of documents (a bounded sample).
     Null and empty texts have the score of the model's intercept, repeated rows their common score; an empty table stays empty."""
+    small_batches(spark)
     weights, bias = fit_quality(docs, table(spark, sf_dir, "labels"))
     score = free_prefix(docs) + "score"
     return score_quality(docs, weights, bias, _own(docs), score).where(F.col(score) >= 0.5).drop(score)
@@ -35,6 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: five-word shingles, similarity of 0.8 or more; of each group the document of the smallest
     doc_id stays. Rows that repeat doc_id and text count once, the one of the smallest JSON; rows that repeat
     doc_id alone are told apart by their text. Those without doc_id stay if no other is in their group."""
+    small_batches(spark)
     p = free_prefix(docs)
     marked = docs.withColumns({p + "text": F.xxhash64("text"), p + "id": F.col("doc_id").cast("long")})
     found = near_duplicates(docs, 5, 4, 5, text_hash=True).where("kept").select(F.col("doc_id").alias(p + "of"), F.col("text_hash").alias(p + "hash")).distinct()
@@ -51,12 +53,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go. Null and empty texts hold none; repeated rows go or stay together."""
+    small_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: each document stands as often as its rate says: not at all, once or more. The domains are
     learnt from the whole documents table, as the stages before have taken most of the poor ones away."""
+    small_batches(spark)
     p = free_prefix(docs)
     mixed = mix(docs, table(spark, sf_dir, "labels"), columns=_own(docs), prefix=p, learn=table(spark, sf_dir, "documents"))
     return mixed.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), F.col(p + "copies"))).alias(p + "copy")).drop(p + "copy")

@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -78,3 +80,29 @@ def test_stages_on_odd_columns_and_a_very_long_text(spark):
     again = cp.near_dedup(spark, docs, DIR).collect()
     assert len({(r.doc_id, r.text) for r in again}) == len(again) and sum(r.doc_id == 5000 for r in again) == 1
     assert predict_languages(docs, fit_langid(docs, F.lit(True)), [F.col("doc_id"), F.col("__best")]).count() == docs.count()
+
+
+def test_stages_hand_rows_to_python_in_small_batches(spark, monkeypatch):
+    """Failed before: a batch held 10,000 rows of up to 64 MB, in the executor and in its Python workers. A number that the session names itself stays."""
+    from tessera.session import BATCH, BATCH_BYTES
+
+    wide = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("x"), 10_000).alias("t"))
+    seen = []
+
+    def operator(*_, **__):
+        seen.append(max(r.n for r in wide.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()))
+        raise InterruptedError
+
+    for name in ("fit_quality", "near_duplicates", "without_leaks", "mix"):
+        monkeypatch.setattr(cp, name, operator)
+    docs, held = spark.read.parquet(f"{DIR}/documents.parquet"), spark.conf.get(BATCH, None)
+    try:
+        for own, most in ((None, BATCH_BYTES), (1 << 20, 1 << 20)):
+            for _, stage in cp.STAGES[:-1]:
+                spark.conf.unset(BATCH) if own is None else spark.conf.set(BATCH, str(own))
+                with pytest.raises(InterruptedError):
+                    stage(spark, docs, DIR)
+            assert len(seen) == 4 and max(seen) < 1.1 * most
+            seen.clear()
+    finally:
+        spark.conf.unset(BATCH) if held is None else spark.conf.set(BATCH, held)
